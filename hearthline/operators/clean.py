@@ -100,7 +100,7 @@ def hour_grid(hourly: DataFrame) -> DataFrame:
         F.expr(HOUR),
     )
     stretched = (
-        hourly.withColumn("zone_list", zone_list().over(Window.partitionBy("house_alias")))
+        hourly.withColumn("zone_list", zone_list(Window.partitionBy("house_alias")))
         .withColumn("following", following)
         .withColumn("zones", with_all_zones(F.col("zones"), F.col("zone_list")))
         .withColumn("grid_hour", F.explode(hours))

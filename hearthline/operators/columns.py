@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearthline import schemas
 from hearthline.functions.numbers import null_if_nan
 
-_HOURLY_TYPES = T.StructType.fromDDL(schemas.HOURLY)
+_HOURLY_TYPES = schemas.HOURLY
 _WIDE_ZONE = re.compile(r"^zone([0-9]+)_avg_set$")
 _ZONE_FIELDS = ("avg_set", "avg_temp", "heatcall_fraction")
 
@@ -61,10 +61,15 @@ def discover_zones(hourly: DataFrame) -> DataFrame:
     return hourly.groupBy("house_alias").agg(zone_list().alias("zone_list"))
 
 
-def zone_list() -> Column:
-    """Aggregate: distinct zone numbers. Its state holds distinct zone sets, not rows."""
-    numbers = F.transform("zones", lambda z: z["zone"])
-    return F.array_sort(F.array_distinct(F.flatten(F.collect_set(numbers))))
+def zone_list(window: WindowSpec | None = None) -> Column:
+    """Distinct zone numbers, as an aggregate or over a window.
+
+    The state holds distinct zone sets, not rows.
+    """
+    sets = F.collect_set(F.transform("zones", lambda z: z["zone"]))
+    if window is not None:
+        sets = sets.over(window)
+    return F.sort_array(F.array_distinct(F.flatten(sets)))
 
 
 def wide_columns(zones: list[int]) -> list[str]:

@@ -52,7 +52,7 @@ def hourly_defaults(hourly: DataFrame) -> DataFrame:
         zones, lambda z: z.withField("heatcall_fraction", F.coalesce(z["heatcall_fraction"], zero))
     )
     return (
-        hourly.withColumn("zone_list", zone_list().over(per_house))
+        hourly.withColumn("zone_list", zone_list(per_house))
         .withColumns({c: F.coalesce(c, zero) for c in ("dist_kwh", "hp_kwh_th", "oil_boiler_pwr")})
         .withColumn("zones", filled)
         .select(*schemas.HOURLY_COLUMNS)
