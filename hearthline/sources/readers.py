@@ -116,13 +116,16 @@ def scan_hourly_cache(spark: SparkSession, path: str) -> DataFrame:
     return conform_columns(spark.read.parquet(path))
 
 
-def scan_hourly_csv(spark: SparkSession, path: str, house: str) -> DataFrame:
-    """One house's wide CSV file: unknown columns dropped, absent ones null.
+def scan_hourly_csv(spark: SparkSession, path: str, house: str | None = None) -> DataFrame:
+    """Wide hourly CSV files: unknown columns dropped, absent ones null.
 
-    Only the header line is looked at to find the zones; blanks and NaN become null.
+    Either one house's file, or a directory per house as the writer lays it out. Only a
+    header line is looked at to find the zones; blanks and NaN become null.
     """
-    wide = spark.read.option("header", True).option("nanValue", "NaN").csv(path)
-    return conform_columns(zone_struct_from_wide(wide.withColumn("house_alias", F.lit(house))))
+    wide = spark.read.option("header", True).csv(path)
+    if house is not None:
+        wide = wide.withColumn("house_alias", F.lit(house))
+    return conform_columns(zone_struct_from_wide(wide))
 
 
 def scan_solar(spark: SparkSession, path: str) -> DataFrame:

@@ -17,7 +17,7 @@ RANGES = {
     "z2_set": (40, 90), "z2_temp": (40, 90), "z2_hc": (0, 1),
 }
 TZ = "'America/New_York'"
-START_UTC = "TIMESTAMP '2024-01-01 05:00:00'"
+START_UTC = "TIMESTAMP '2023-12-31 05:00:00'"
 
 
 def S(x: str, digits: int = 6) -> str:
@@ -201,7 +201,7 @@ asof("h", "asof_h", ["h"])
 
 part("houses", ["e"], "SELECT DISTINCT house_alias FROM e")
 part("skel", ["houses"], """
-SELECT house_alias, unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-30 23:00:00',
+SELECT house_alias, unnest(generate_series(TIMESTAMP '2023-12-31 00:00:00', TIMESTAMP '2024-01-31 23:00:00',
   INTERVAL 1 HOUR)) AS hour_start FROM houses""")
 part("keys", ["skel", "energy_h", "water_h", "flowt_h", "oil_h", "zone_h"], """
 SELECT house_alias, hour_start FROM skel UNION SELECT house_alias, hour_start FROM energy_h
