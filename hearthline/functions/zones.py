@@ -1,4 +1,7 @@
-"""Expressions over the ``zones`` array of an hourly row."""
+"""Expressions over the ``zones`` array of an hourly row.
+
+The lambdas are SQL text: one expression each, instead of a call per operator.
+"""
 
 from __future__ import annotations
 
@@ -8,64 +11,51 @@ from pyspark.sql import functions as F
 from hearthline.config import HeatConfig
 
 
-def zone_numbers(zones: Column) -> Column:
-    return F.transform(zones, lambda z: z["zone"])
-
-
-def mean_zone_temp(zones: Column) -> Column:
+def mean_zone_temp() -> Column:
     """Mean of the known zone temperatures; null when there is none."""
-    known = F.filter(F.transform(zones, lambda z: z["avg_temp"]), lambda t: t.isNotNull())
-    total = F.aggregate(known, F.lit(0.0), lambda acc, t: acc + t)
-    return F.when(F.size(known) > 0, total / F.size(known))
+    known = "filter(transform(zones, z -> z.avg_temp), t -> t IS NOT NULL)"
+    return F.expr(f"aggregate({known}, 0D, (total, t) -> total + t) / nullif(size({known}), 0)")
 
 
-def max_zone_heatcall(zones: Column) -> Column:
-    return F.array_max(F.transform(zones, lambda z: z["heatcall_fraction"]))
+def max_zone_heatcall() -> Column:
+    return F.expr("array_max(transform(zones, z -> z.heatcall_fraction))")
 
 
-def any_heatcall_missing(zones: Column) -> Column:
-    return F.exists(zones, lambda z: z["heatcall_fraction"].isNull())
+def any_heatcall_missing() -> Column:
+    return F.expr("exists(zones, z -> z.heatcall_fraction IS NULL)")
 
 
-def below_setpoint(zones: Column, cfg: HeatConfig) -> Column:
-    return F.exists(zones, lambda z: z["avg_set"] - z["avg_temp"] >= cfg.below_setpoint_f)
+def below_setpoint(cfg: HeatConfig) -> Column:
+    return F.expr(f"exists(zones, z -> z.avg_set - z.avg_temp >= {float(cfg.below_setpoint_f)}D)")
 
 
-def setpoint_differs(zones: Column, earlier: Column) -> Column:
-    """Some zone has another setpoint than the same zone in ``earlier``."""
-    return F.exists(
-        zones,
-        lambda z: F.exists(
-            earlier, lambda e: (e["zone"] == z["zone"]) & (e["avg_set"] != z["avg_set"])
-        ),
+def setpoint_differs(earlier: str) -> Column:
+    """Some zone has another setpoint than the same zone in the array ``earlier``."""
+    return F.expr(
+        f"exists(zones, z -> exists({earlier}, e -> e.zone = z.zone AND e.avg_set <> z.avg_set))"
     )
 
 
-def thermostat_gap(house: Column, zone: Column, cfg: HeatConfig) -> Column:
-    gap = F.lit(float(cfg.thermostat_gap_f))
+def _thermostat_gap(cfg: HeatConfig) -> str:
+    gap = f"{float(cfg.thermostat_gap_f)}D"
     for alias, number, value in cfg.thermostat_gap_overrides:
-        gap = F.when((house == alias) & (zone == number), F.lit(float(value))).otherwise(gap)
+        name = alias.replace("'", "''")
+        gap = f"IF(house_alias = '{name}' AND z.zone = {int(number)}, {float(value)}D, {gap})"
     return gap
 
 
-def broken_thermostat(house: Column, zones: Column, cfg: HeatConfig) -> Column:
+def broken_thermostat(cfg: HeatConfig) -> Column:
     """Cold without a heat call, or warm with one."""
-
-    def broken(z: Column) -> Column:
-        gap = thermostat_gap(house, z["zone"], cfg)
-        cold = (z["heatcall_fraction"] == 0) & (z["avg_set"] - z["avg_temp"] >= gap)
-        warm = (z["heatcall_fraction"] > 0.01) & (z["avg_temp"] - z["avg_set"] >= gap)
-        return cold | warm
-
-    return F.exists(zones, broken)
+    gap = _thermostat_gap(cfg)
+    cold = f"z.heatcall_fraction = 0 AND z.avg_set - z.avg_temp >= {gap}"
+    warm = f"z.heatcall_fraction > 0.01D AND z.avg_temp - z.avg_set >= {gap}"
+    return F.expr(f"exists(zones, z -> ({cold}) OR ({warm}))")
 
 
-def external_heat(zones: Column, cfg: HeatConfig) -> Column:
+def external_heat(cfg: HeatConfig) -> Column:
     """The warmest zone is well above its setpoint though nobody called for heat."""
-    warmest = F.array_max(F.transform(zones, lambda z: z["avg_temp"]))
-    return F.exists(
-        zones,
-        lambda z: (z["heatcall_fraction"] == 0)
-        & (z["avg_temp"] - z["avg_set"] >= cfg.external_heat_f)
-        & (z["avg_temp"] >= warmest),
+    warmest = "array_max(transform(zones, y -> y.avg_temp))"
+    return F.expr(
+        f"exists(zones, z -> z.heatcall_fraction = 0 AND z.avg_temp - z.avg_set >= {float(cfg.external_heat_f)}D "
+        f"AND z.avg_temp >= {warmest})"
     )

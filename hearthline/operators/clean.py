@@ -25,7 +25,7 @@ from hearthline.config import (
 )
 from hearthline.functions import zones as Z
 from hearthline.functions.clock import HOUR, hours_between
-from hearthline.operators.columns import with_all_zones, zone_list
+from hearthline.operators.columns import zone_list
 
 CARRIED = OPTIONAL_CHANNELS + FORECAST_CHANNELS
 _ZONE_RANGES = {
@@ -45,34 +45,24 @@ def clamp_small_negative_hp(hourly: DataFrame) -> DataFrame:
     return hourly.withColumn("hp_kwh_th", F.when(hp.between(-1, 0), 0.0).otherwise(hp))
 
 
-def _outside(value: Column, bounds: tuple[float, float]) -> Column:
-    return F.coalesce(~value.between(*bounds), F.lit(False))
-
-
 def valid_range_filter(hourly: DataFrame) -> DataFrame:
     """Values outside their inclusive range become null; ``n_out_of_range`` counts them."""
-    count = F.lit(0)
-    changed: dict[str, Column] = {}
-    for name, bounds in VALID_RANGES.items():
-        bad = _outside(F.col(name), bounds)
-        count = count + bad.cast("int")
-        changed[name] = F.when(~bad, F.col(name))
-
-    def bad_parts(z: Column) -> Column:
-        parts = [_outside(z[f], b).cast("int") for f, b in _ZONE_RANGES.items()]
-        return parts[0] + parts[1] + parts[2]
-
-    zone_count = F.aggregate(
-        F.coalesce("zones", F.array()), F.lit(0), lambda acc, z: acc + bad_parts(z)
-    )
-    changed["zones"] = F.transform(
-        "zones",
-        lambda z: F.struct(
-            z["zone"].alias("zone"),
-            *[F.when(~_outside(z[f], b), z[f]).alias(f) for f, b in _ZONE_RANGES.items()],
-        ),
+
+    def outside(value: str, bounds: tuple[float, float]) -> str:
+        return f"coalesce(CAST({value} NOT BETWEEN {bounds[0]}D AND {bounds[1]}D AS INT), 0)"
+
+    def kept(value: str, bounds: tuple[float, float]) -> str:
+        return f"CASE WHEN {value} BETWEEN {bounds[0]}D AND {bounds[1]}D THEN {value} END"
+
+    house_count = " + ".join(outside(c, b) for c, b in VALID_RANGES.items())
+    zone_count = " + ".join(outside(f"z.{f}", b) for f, b in _ZONE_RANGES.items())
+    zone_parts = ", ".join(f"{kept(f'z.{f}', b)} AS {f}" for f, b in _ZONE_RANGES.items())
+    changed = {c: F.expr(kept(c, b)) for c, b in VALID_RANGES.items()}
+    changed["zones"] = F.expr(f"transform(zones, z -> struct(z.zone AS zone, {zone_parts}))")
+    changed["n_out_of_range"] = F.expr(
+        f"{house_count} + coalesce(aggregate(zones, 0, (n, z) -> n + {zone_count}), 0)"
     )
-    return hourly.withColumn("n_out_of_range", count + zone_count).withColumns(changed)
+    return hourly.withColumns(changed)
 
 
 def rate_of_change_filter(hourly: DataFrame, cfg: HeatConfig) -> DataFrame:
@@ -90,69 +80,49 @@ def rate_of_change_filter(hourly: DataFrame, cfg: HeatConfig) -> DataFrame:
 def hour_grid(hourly: DataFrame) -> DataFrame:
     """One row per hour from a house's first to its last; inserted rows are all null.
 
-    Each row is stretched up to the next present hour, so no join is needed. Rows carry
-    the zone list of the house.
+    Each row is stretched up to the next present hour, so no join is needed. Every row
+    lists all zones of its house.
     """
     following = F.lead("hour_start").over(_per_house_in_time())
-    hours = F.sequence(
-        F.col("hour_start"),
-        F.coalesce(F.col("following") - F.expr(HOUR), F.col("hour_start")),
-        F.expr(HOUR),
-    )
-    stretched = (
-        hourly.withColumn("zone_list", zone_list(Window.partitionBy("house_alias")))
-        .withColumn("following", following)
-        .withColumn("zones", with_all_zones(F.col("zones"), F.col("zone_list")))
-        .withColumn("grid_hour", F.explode(hours))
-    )
-    inserted = F.col("grid_hour") != F.col("hour_start")
-    keep = ("house_alias", "hour_start", "grid_hour", "zone_list", "following", "zones")
-    values = {c: F.when(~inserted, F.col(c)) for c in stretched.columns if c not in keep}
-    blank_zones = F.transform(
-        "zones",
-        lambda z: F.struct(
-            z["zone"].alias("zone"),
-            *[F.when(~inserted, z[f]).alias(f) for f in _ZONE_RANGES],
-        ),
-    )
-    return (
-        stretched.withColumns(values)
-        .withColumn("zones", blank_zones)
-        .withColumn("inserted", inserted)
-        .withColumn("hour_start", F.col("grid_hour"))
-        .drop("grid_hour", "following", "zone_list")
+    stretched = hourly.withColumns({
+        "zone_list": zone_list(Window.partitionBy("house_alias")),
+        "following": following,
+    }).withColumn("grid_hour", F.expr(
+        f"explode(sequence(hour_start, coalesce(following - {HOUR}, hour_start), {HOUR}))"
+    ))
+    present = "grid_hour = hour_start"
+    known = f"get(filter(IF({present}, zones, array()), z -> z.zone = k), 0)"
+    zones = f"transform(zone_list, k -> struct(k AS zone, {_fields(known)}))"
+    values = [c for c in hourly.columns if c not in ("house_alias", "hour_start", "zones")]
+    return stretched.selectExpr(
+        "house_alias",
+        "grid_hour AS hour_start",
+        *[f"CASE WHEN {present} THEN {c} END AS {c}" for c in values],
+        f"{zones} AS zones",
+        f"NOT ({present}) AS inserted",
     )
 
 
+def _fields(struct: str) -> str:
+    return ", ".join(f"{struct}.{f} AS {f}" for f in _ZONE_RANGES)
+
+
 def to_long(grid: DataFrame) -> DataFrame:
     """One row per (house, hour, channel) for the channels that get filled.
 
-    Columns that are only carried travel in ``carried`` on a single channel's row.
+    Columns that are only carried travel in ``carried`` on the first channel's row.
     """
-    carried = F.struct(*[c for c in grid.columns if c not in (
-        "house_alias", "hour_start", "zones", *FILLED_CHANNELS)])
-    house_level = F.array(*[
-        F.struct(
-            F.lit(c).alias("channel"),
-            F.col(c).alias("value"),
-            F.when(F.lit(c == FILLED_CHANNELS[0]), carried).alias("carried"),
-        )
-        for c in FILLED_CHANNELS
-    ])
-    zone_level = F.flatten(F.transform(
-        F.coalesce("zones", F.array()),
-        lambda z: F.array(*[
-            F.struct(
-                F.concat(F.lit("zone"), z["zone"].cast("string"), F.lit(f"_{f}")).alias("channel"),
-                z[f].alias("value"),
-                F.when(F.lit(False), carried).alias("carried"),
-            )
-            for f in _ZONE_RANGES
-        ]),
-    ))
-    return grid.select(
-        "house_alias", "hour_start", F.explode(F.concat(house_level, zone_level)).alias("c")
-    ).select("house_alias", "hour_start", "c.channel", "c.value", "c.carried")
+    carried = [c for c in grid.columns if c not in ("house_alias", "hour_start", "zones", *FILLED_CHANNELS)]
+    house_level = ", ".join(f"struct('{c}' AS channel, {c} AS value)" for c in FILLED_CHANNELS)
+    zone_level = ", ".join(
+        f"struct(concat('zone', z.zone, '_{f}') AS channel, z.{f} AS value)" for f in _ZONE_RANGES
+    )
+    cells = f"concat(array({house_level}), flatten(transform(zones, z -> array({zone_level}))))"
+    return grid.selectExpr(
+        "house_alias", "hour_start", f"struct({', '.join(carried)}) AS hour_values", f"posexplode({cells}) AS (i, c)"
+    ).selectExpr(
+        "house_alias", "hour_start", "c.channel", "c.value", "CASE WHEN i = 0 THEN hour_values END AS carried"
+    )
 
 
 def fill_gaps(long: DataFrame, cfg: HeatConfig) -> DataFrame:
@@ -195,47 +165,31 @@ def regroup_hours(filled: DataFrame) -> DataFrame:
 
     An hour in a long gap of any channel keeps its nulls, except the outdoor temperature.
     """
-    carried_fields = [f.name for f in filled.schema["carried"].dataType.fields]
     per_hour = filled.groupBy("house_alias", "hour_start").agg(
         F.max("in_long_gap").alias("gap_hour"),
         F.first("carried", ignorenulls=True).alias("carried"),
-        F.collect_list(F.struct("channel", F.struct("value", "filled").alias("reading"))).alias("cells"),
+        F.map_from_entries(F.collect_list(F.struct("channel", F.struct("value", "filled")))).alias("cells"),
     )
-    cell = lambda name: F.col("readings")[name]
-
-    def used(name: Column) -> Column:
-        return F.when(F.col("gap_hour"), cell(name)["value"]).otherwise(cell(name)["filled"])
-
-    columns = {
-        c: (cell(F.lit(c))["filled"] if c == "oat_f" else used(F.lit(c))) for c in FILLED_CHANNELS
-    }
-    zone_names = F.array_sort(F.array_distinct(F.transform(
-        F.filter(F.map_keys("readings"), lambda k: k.startswith("zone")),
-        lambda k: F.regexp_extract(k, "^zone([0-9]+)_", 1).cast("int"),
-    )))
-    zones = F.transform(zone_names, lambda z: F.struct(
-        z.alias("zone"),
-        *[used(F.concat(F.lit("zone"), z.cast("string"), F.lit(f"_{f}"))).alias(f) for f in _ZONE_RANGES],
-    ))
-    n_filled = F.size(F.filter(
-        "cells",
-        lambda c: c["reading"]["value"].isNull()
-        & c["reading"]["filled"].isNotNull()
-        & (~F.col("gap_hour") | (c["channel"] == "oat_f")),
-    ))
-    return (
-        per_hour.withColumn("readings", F.map_from_entries("cells"))
-        .select(
-            "house_alias",
-            "hour_start",
-            *[F.col("carried")[f].alias(f) for f in carried_fields],
-            "gap_hour",
-            n_filled.alias("n_filled"),
-            *[v.alias(c) for c, v in columns.items()],
-            cell(F.lit("oat_f"))["value"].isNotNull().alias("oat_observed"),
-            cell(F.lit("dist_kwh"))["value"].isNotNull().alias("load_observed"),
-            zones.alias("zones"),
-        )
+
+    def used(key: str) -> str:
+        return f"IF(gap_hour, cells[{key}].value, cells[{key}].filled)"
+
+    house_level = [f"{used(repr(c))} AS {c}" for c in FILLED_CHANNELS if c != "oat_f"]
+    zone_cells = ", ".join(f"{used(f'concat(\'zone\', k, \'_{f}\')')} AS {f}" for f in _ZONE_RANGES)
+    zone_names = "filter(map_keys(cells), c -> c LIKE 'zone%_avg_set')"
+    zone_list = f"array_sort(transform({zone_names}, c -> CAST(regexp_extract(c, '[0-9]+', 0) AS INT)))"
+    return per_hour.selectExpr(
+        "house_alias",
+        "hour_start",
+        "carried.*",
+        "gap_hour",
+        "cells['oat_f'].filled AS oat_f",
+        *house_level,
+        "cells['oat_f'].value IS NOT NULL AS oat_observed",
+        "cells['dist_kwh'].value IS NOT NULL AS load_observed",
+        f"transform({zone_list}, k -> struct(k AS zone, {zone_cells})) AS zones",
+        "size(map_filter(cells, (c, x) -> x.value IS NULL AND x.filled IS NOT NULL "
+        "AND (NOT gap_hour OR c = 'oat_f'))) AS n_filled",
     )
 
 
@@ -275,26 +229,18 @@ def clean_audit(hourly: DataFrame, cfg: HeatConfig) -> DataFrame:
     grid = hour_grid(rate_of_change_filter(checked, cfg))
     rows = rolling_means(interpolate_linear(grid, cfg), cfg)
 
-    required = [F.col(c) for c in FILLED_CHANNELS]
-    zone_nulls = F.aggregate(
-        "zones",
-        F.lit(0),
-        lambda acc, z: acc
-        + z["avg_set"].isNull().cast("int")
-        + z["avg_temp"].isNull().cast("int")
-        + z["heatcall_fraction"].isNull().cast("int"),
-    )
-    n_missing = zone_nulls
-    for column in required:
-        n_missing = n_missing + column.isNull().cast("int")
-
-    rows = rows.withColumn("n_missing", n_missing)
+    house_nulls = " + ".join(f"CAST({c} IS NULL AS INT)" for c in FILLED_CHANNELS)
+    zone_nulls = " + ".join(f"CAST(z.{f} IS NULL AS INT)" for f in _ZONE_RANGES)
+    rows = rows.withColumns({
+        "n_missing": F.expr(f"{house_nulls} + aggregate(zones, 0, (n, z) -> n + {zone_nulls})"),
+        "external_heat": F.coalesce(Z.external_heat(cfg), F.lit(False)),
+    })
     before_rules = (
         F.when(F.col("OAT_avg_4h").isNull() | F.col("dist_kwh_avg_4h").isNull(), "no_rolling_mean")
         .when(F.col("gap_hour"), "long_gap")
         .when(F.col("n_missing") > 0, "missing_values")
         .when(F.col("oil_boiler_pwr") > cfg.oil_boiler_watts, "oil_boiler")
-        .when(Z.below_setpoint(F.col("zones"), cfg), "below_setpoint")
+        .when(Z.below_setpoint(cfg), "below_setpoint")
     )
     rows = rows.withColumn("early_verdict", before_rules)
     # the setpoint is compared with the previous row that got this far
@@ -303,13 +249,10 @@ def clean_audit(hourly: DataFrame, cfg: HeatConfig) -> DataFrame:
         "IGNORE NULLS OVER (PARTITION BY house_alias ORDER BY hour_start)"
     )
     rows = rows.withColumn("previous", previous)
-    stepped = (F.col("previous.h") == F.col("hour_start") - F.expr(HOUR)) & Z.setpoint_differs(
-        F.col("zones"), F.col("previous.z")
-    )
+    stepped = (F.col("previous.h") == F.col("hour_start") - F.expr(HOUR)) & Z.setpoint_differs("previous.z")
     late = F.when(F.coalesce(stepped, F.lit(False)), "setpoint_change").when(
-        Z.broken_thermostat(F.col("house_alias"), F.col("zones"), cfg), "broken_thermostat"
+        Z.broken_thermostat(cfg), "broken_thermostat"
     )
-    rows = rows.withColumn("external_heat", F.coalesce(Z.external_heat(F.col("zones"), cfg), F.lit(False)))
     if cfg.drop_external_heat:
         late = late.when(F.col("external_heat"), "external_heat")
     return rows.withColumn("dropped_by", F.coalesce(F.col("early_verdict"), late)).drop(

@@ -40,7 +40,7 @@ def engineer_features(cleaned: DataFrame, cfg: HeatConfig) -> DataFrame:
     rows = (
         cleaned.withColumns({
             "day": F.to_date("hour_start"),
-            "temp_avg": mean_zone_temp(F.col("zones")),
+            "temp_avg": mean_zone_temp(),
             "position": F.row_number().over(in_time),
             "previous_dist_kwh": F.lag("dist_kwh").over(in_time),
         })

@@ -18,11 +18,11 @@ def rswt_rows(features: DataFrame) -> DataFrame:
         F.col("swt_average_f").isNotNull()
         & F.col("rwt_average_f").isNotNull()
         & F.col("dist_kwh").isNotNull()
-        & ~F.coalesce(any_heatcall_missing(F.col("zones")), F.lit(False))
+        & ~F.coalesce(any_heatcall_missing(), F.lit(False))
     )
     return features.where(complete).select(
         "house_alias", "hour_start", "day", "swt_average_f", "rwt_average_f", "dist_kwh", "dist_water_kg",
-        max_zone_heatcall(F.col("zones")).alias("max_zone_heatcall"),
+        max_zone_heatcall().alias("max_zone_heatcall"),
     )
 
 

@@ -108,7 +108,8 @@ def readings_1s_from_events(events: DataFrame) -> DataFrame:
     longer than the onset delay.
     """
     seconds = F.explode(F.sequence(F.lit(0), F.lit(BURST_SECONDS - 1)))
-    bursts = events.select(
+    # every event grows 240-fold: spread the events, not the readings, over tasks
+    bursts = events.repartition("event_id").select(
         _house_alias(_house_number()).alias("house_alias"),
         F.date_trunc("second", F.col("ts")).cast("timestamp_ntz").alias("t0"),
         "value",

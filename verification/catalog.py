@@ -649,14 +649,14 @@ def _distribution_sql() -> str:
   n_outliers, CASE WHEN zone > 0 AND stage = 'after' THEN {S('lo - pad')} END AS axis_low,
   CASE WHEN zone > 0 AND stage = 'after' THEN {S('hi + pad')} END AS axis_high
 FROM (SELECT *, min(min_value) OVER z AS lo, max(max_value) OVER z AS hi, greatest((hi - lo) * 0.05e0, 0.25e0) AS pad FROM (
-  SELECT house_alias, stage, zone, channel, count(*) - count(value) AS n_null, count(value) AS n_values, q1, median, q3,
-    least(q1, min(value) FILTER (WHERE value >= q1 - 1.5e0 * (q3 - q1))) AS whisker_low,
-    greatest(q3, max(value) FILTER (WHERE value <= q3 + 1.5e0 * (q3 - q1))) AS whisker_high,
+  SELECT house_alias, stage, zone, channel, count(*) - count(value) AS n_null, count(value) AS n_values,
+    max(q1) AS q1, max(median) AS median, max(q3) AS q3, least(max(q1), min(value) FILTER (WHERE value >= q1 - 1.5e0 * (q3 - q1))) AS whisker_low,
+    greatest(max(q3), max(value) FILTER (WHERE value <= q3 + 1.5e0 * (q3 - q1))) AS whisker_high,
     count(*) FILTER (WHERE value < q1 - 1.5e0 * (q3 - q1) OR value > q3 + 1.5e0 * (q3 - q1)) AS n_outliers,
     min(value) AS min_value, max(value) AS max_value
   FROM (SELECT *, quantile_cont(value, 0.25) OVER w AS q1, quantile_cont(value, 0.5) OVER w AS median,
           quantile_cont(value, 0.75) OVER w AS q3 FROM ({' UNION ALL '.join(rows)})
-        WINDOW w AS (PARTITION BY house_alias, stage, channel)) GROUP BY ALL)
+        WINDOW w AS (PARTITION BY house_alias, stage, channel)) GROUP BY 1, 2, 3, 4)
   WINDOW z AS (PARTITION BY house_alias, stage, zone))"""
 
 
@@ -953,7 +953,7 @@ def _(t: Inputs):
     calm = F.transform("zones", lambda z: z.withField(
         "heatcall_fraction", F.when(z["heatcall_fraction"] < 0.3, 0.0).otherwise(z["heatcall_fraction"])))
     rows = clean.cleaned_rows(t.audit).withColumn("zones", calm)
-    return rows.select("house_alias", "hour_start", Z.external_heat(F.col("zones"), cfg).alias("external_heat"))
+    return rows.select("house_alias", "hour_start", Z.external_heat(cfg).alias("external_heat"))
 
 
 # ---------------------------------------------------------------------------
