@@ -22,7 +22,8 @@ def expected_hours(houses: DataFrame, start: datetime, end: datetime) -> DataFra
         F.lit(end).cast("timestamp_ntz") - F.expr(HOUR),
         F.expr(HOUR),
     )
-    return houses.select("house_alias").distinct().select("house_alias", F.explode(hours).alias("hour_start"))
+    aliases = houses.select(F.lower(F.trim("house_alias")).alias("house_alias")).distinct()
+    return aliases.select("house_alias", F.explode(hours).alias("hour_start"))
 
 
 def merge_hourly_sources(skeleton: DataFrame, *sources: DataFrame) -> DataFrame:

@@ -57,7 +57,9 @@ def scan_readings_1s(
 ) -> DataFrame:
     """One-second readings of some channels in ``[start, end)``."""
     rows = readings_1s.where(half_open(F.col("ts"), start, end) & F.col("channel_name").isin(*channels))
-    return of_houses(rows, houses).select("house_alias", "ts", "channel_name", "unit", "value")
+    return of_houses(rows, houses).select(
+        house_key(F.col("house_alias")).alias("house_alias"), "ts", "channel_name", "unit", "value"
+    )
 
 
 def scan_readings_with_channels(
@@ -73,7 +75,10 @@ def scan_readings_with_channels(
     and shuffles on the channel id (splitting hot ids) when a fleet outgrows the limit.
     """
     named = of_houses(channels, houses).select(
-        F.col("id").alias("channel_id"), "house_alias", F.col("name").alias("channel_name"), "unit"
+        F.col("id").alias("channel_id"),
+        house_key(F.col("house_alias")).alias("house_alias"),
+        F.col("name").alias("channel_name"),
+        "unit",
     )
     rows = readings.where(half_open(F.col("ts"), start, end)).select("channel_id", "ts", "value")
     return rows.join(named, "channel_id")
@@ -106,7 +111,7 @@ def scan_forecast_messages(
     parsed = F.from_json("payload", schemas.FORECAST_PAYLOAD)
     return (
         of_houses(rows, houses, "from_alias")
-        .select(F.col("from_alias").alias("house_alias"), "ts", parsed.alias("p"))
+        .select(house_key(F.col("from_alias")).alias("house_alias"), "ts", parsed.alias("p"))
         .select("house_alias", "ts", "p.Time", "p.OatF", "p.WindSpeedMph")
     )
 
