@@ -1,5 +1,7 @@
 """Plan shapes that matter at scale."""
 
+from datetime import timedelta
+
 from conftest import hour_row, hourly
 
 from hearthline.operators import sensors, telemetry
@@ -29,7 +31,7 @@ def test_scan_filters_and_columns_reach_the_reader(spark, cfg, tmp_path, capsys)
     frame = spark.createDataFrame(
         rows, "house_alias string, ts timestamp_ntz, channel_name string, unit string, value double, note string")
     frame.write.parquet(str(tmp_path / "r"))
-    scan = readers.scan_readings_1s(spark.read.parquet(str(tmp_path / "r")), UTC0, UTC0, telemetry.CHANNELS_READ)
+    scan = readers.scan_readings_1s(spark.read.parquet(str(tmp_path / "r")), UTC0, UTC0 + timedelta(days=1), telemetry.CHANNELS_READ)
     scan.explain("formatted")
     text = capsys.readouterr().out.splitlines()
     pushed = next(line for line in text if "PushedFilters" in line)
