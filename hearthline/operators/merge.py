@@ -26,19 +26,20 @@ def expected_hours(houses: DataFrame, start: datetime, end: datetime) -> DataFra
     return aliases.select("house_alias", F.explode(hours).alias("hour_start"))
 
 
-def merge_hourly_sources(skeleton: DataFrame, *sources: DataFrame) -> DataFrame:
-    """Bring hourly results from several sources into one row per house and hour.
+def merge_hours(*sources: DataFrame) -> DataFrame:
+    """Bring rows of several sources together by house and hour.
 
-    Sources have disjoint value columns, so a union followed by one aggregate does the
-    work of a chain of full outer joins with a single shuffle. Hours a source has outside
-    the skeleton are kept.
+    Sources have disjoint value columns (or equal values), so a union followed by one
+    aggregate does the work of a chain of full outer joins with a single shuffle.
     """
-    stacked = reduce(
-        lambda a, b: a.unionByName(b, allowMissingColumns=True), sources, skeleton.select(*HOUSE_HOUR)
-    )
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)
     values = [c for c in stacked.columns if c not in HOUSE_HOUR]
-    merged = stacked.groupBy(*HOUSE_HOUR).agg(*[F.max(c).alias(c) for c in values])
-    return conform_columns(merged)
+    return stacked.groupBy(*HOUSE_HOUR).agg(*[F.max(c).alias(c) for c in values])
+
+
+def merge_hourly_sources(skeleton: DataFrame, *sources: DataFrame) -> DataFrame:
+    """Hourly rows from a skeleton and its sources; hours outside the skeleton are kept."""
+    return conform_columns(merge_hours(skeleton.select(*HOUSE_HOUR), *sources))
 
 
 def hourly_defaults(hourly: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hearthline.config import HeatConfig
 from hearthline.operators import backtest as B
-from hearthline.operators import clean, features as feat, forecast, merge, regression, rswt, sensors, sweep
+from hearthline.operators import clean, columns, features as feat, forecast, merge, regression, rswt, sensors, sweep
 from hearthline.operators import telemetry
 from hearthline.session import stage
 from hearthline.sources import readers
@@ -34,23 +34,24 @@ def build_hourly(
 ) -> DataFrame:
     """Raw telemetry, sensors and forecasts to one hourly row per house.
 
-    ``start`` and ``end`` are naive local times; every hour between them gets a row.
+    ``start`` and ``end`` are naive local times; every hour between them gets a row. Each
+    input is scanned once, and everything meets in one shuffle of hourly rows.
     """
     since, until = utc(start, cfg.timezone), utc(end, cfg.timezone)
     seconds = readers.scan_readings_1s(readings_1s, since, until, telemetry.CHANNELS_READ)
     named = readers.scan_readings_with_channels(readings, channels, since, until)
-    skeleton = merge.expected_hours(houses, start, end)
-    merged = merge.merge_hourly_sources(
-        skeleton,
-        telemetry.hourly_from_seconds(seconds, since, cfg),
-        sensors.oil_boiler_hourly(named, cfg),
-        sensors.zones_per_hour(sensors.zone_hourly(named, cfg)),
+    parsed = readers.scan_forecast_messages(messages, since, until, cfg)
+
+    wanted = F.lit(True).alias("wanted")
+    slots = merge.merge_hours(
+        merge.expected_hours(houses, start, end).select("*", wanted),
+        telemetry.hourly_from_seconds(seconds, since, cfg).select("*", wanted),
+        sensors.sensor_hourly(named, cfg).select("*", wanted),
+        forecast.latest_per_slot(forecast.dedupe_forecasts(parsed, cfg)),
     )
-    messages = readers.scan_forecast_messages(messages, since, until, cfg)
-    weather = forecast.asof_forecast(merged, forecast.dedupe_forecasts(messages, cfg), cfg)
-    measured = merged.drop(*(c for c in weather.columns if c not in merge.HOUSE_HOUR))
-    with_weather = merge.merge_hourly_sources(skeleton, measured, weather.drop("forecast_ts"))
-    return merge.hourly_defaults(with_weather)
+    # slots that only hold a message carry it to later hours but are not rows themselves
+    hourly = forecast.carry_forward(slots, cfg).where("wanted")
+    return merge.hourly_defaults(columns.conform_columns(hourly))
 
 
 def update_cache(cached: DataFrame, fetched: DataFrame) -> DataFrame:

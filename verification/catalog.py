@@ -369,8 +369,7 @@ _MERGED_NUMBERS = ["dist_kwh", "hp_kwh_th", "oil_boiler_pwr"]
 def _(t: Inputs):
     merged = merge.merge_hourly_sources(
         merge.expected_hours(t.houses, START, END),
-        sensors.oil_boiler_hourly(t.named, t.cfg),
-        sensors.zones_per_hour(sensors.zone_hourly(t.named, t.cfg)))
+        sensors.sensor_hourly(t.named, t.cfg))
     return flat_zones(merge.hourly_defaults(merged)).select(
         "house_alias", "hour_start", "ws_mph", *_MERGED_NUMBERS, "z1_set", "z1_temp", "z1_hc")
 
