@@ -108,17 +108,20 @@ def backtest_fits(features: DataFrame, n: int, cfg: HeatConfig) -> DataFrame:
     return regression.solve_windows(windows, features, ["house_alias", "n", "fit_day"], cfg)
 
 
+def score(features: DataFrame, fits: DataFrame, cfg: HeatConfig) -> Backtest:
+    """Forecast from every hour with the fits in force and measure the errors."""
+    points = B.forecast_points(B.origin_lead_join(features, cfg), fits, cfg)
+    return Backtest(
+        fits, points, B.oos_metrics(points), B.rmse_by_lead(points), B.hourly_residual_ci(points)
+    )
+
+
 def backtest(features: DataFrame, n: int, cfg: HeatConfig, staged: bool = True) -> Backtest:
     """Refit through history on ``n`` days and score forecasts from every hour."""
     if staged:
         features = stage(features, "features")
     fits = backtest_fits(features, n, cfg)
-    if staged:
-        fits = stage(fits, "fits")
-    points = B.forecast_points(B.origin_lead_join(features, cfg), fits, cfg)
-    return Backtest(
-        fits, points, B.oos_metrics(points), B.rmse_by_lead(points), B.hourly_residual_ci(points)
-    )
+    return score(features, stage(fits, "fits") if staged else fits, cfg)
 
 
 def sweep_fits(features: DataFrame, min_n: int, max_n: int, cfg: HeatConfig) -> DataFrame:

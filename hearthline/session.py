@@ -52,6 +52,14 @@ def shared_folder(spark: SparkSession) -> str | None:
     return _local_folder
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder."""
+    folder = shared_folder(spark)
+    if folder is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return f"{folder.rstrip('/')}/hearthline/{label}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to shared storage once and continue from the written table.
 
@@ -59,9 +67,9 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     cuts lineage, and survives lost executors; readers still prune columns. Without a
     shared folder the frame is returned as it is: same rows, computed per consumer.
     """
-    folder = shared_folder(df.sparkSession)
-    if folder is None:
+    spark = df.sparkSession
+    if shared_folder(spark) is None:
         return df
-    path = f"{folder.rstrip('/')}/hearthline/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

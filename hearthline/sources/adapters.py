@@ -108,8 +108,10 @@ def readings_1s_from_events(events: DataFrame) -> DataFrame:
     longer than the onset delay.
     """
     seconds = F.explode(F.sequence(F.lit(0), F.lit(BURST_SECONDS - 1)))
-    # every event grows 240-fold: spread the events, not the readings, over tasks
-    bursts = events.repartition("event_id").select(
+    # every event grows 240-fold, so the events, not the readings, are spread over tasks; the
+    # number is given because the small events would otherwise be coalesced into few tasks
+    tasks = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bursts = events.repartition(tasks, "event_id").select(
         _house_alias(_house_number()).alias("house_alias"),
         F.date_trunc("second", F.col("ts")).cast("timestamp_ntz").alias("t0"),
         "value",

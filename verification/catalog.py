@@ -17,7 +17,7 @@ from hearthline.operators import backtest as B
 from hearthline.operators import clean, columns, features as feat, forecast, merge, regression as R
 from hearthline.operators import rswt, sensors, sweep, telemetry
 from hearthline.plans import pipeline as P
-from hearthline.session import configure, shared_folder, stage
+from hearthline.session import configure, scratch_path, stage
 from hearthline.sources import adapters, readers, writers
 from verification import sqlparts as Q
 from verification.sqlparts import S, query
@@ -184,7 +184,7 @@ _HOURLY_NUMBERS = [*Q.CHANNELS, *Q.OPTIONAL]
 @check("scan_hourly_cache", query(
     f"SELECT house_alias, hour_start, {rsql(*_HOURLY_NUMBERS)}, {ZONES_SQL}, coalesce(fc_len, 0) AS n_forecast FROM h", "h"))
 def _(t: Inputs):
-    path = f"{shared_folder(t.spark)}/hearthline/hourly-csv"
+    path = scratch_path(t.spark, "hourly-csv")
     writers.write_hourly_csv(t.hourly, path, zones=[1, 2])
     back = readers.scan_hourly_csv(t.spark, path)
     out = rounded(back, *_HOURLY_NUMBERS).withColumn("n_forecast", F.coalesce(F.size("oat_f_forecast"), F.lit(0)))
@@ -194,7 +194,7 @@ def _(t: Inputs):
 @check("scan_solar", "SELECT date_trunc('hour', ts) AS hour_start, CAST(greatest(0, 500 - 90 * abs(hour(ts) - 13)) "
        "AS DOUBLE) AS solar_w_m2 FROM events GROUP BY 1, 2")
 def _(t: Inputs):
-    path = f"{shared_folder(t.spark)}/hearthline/solar-csv"
+    path = scratch_path(t.spark, "solar-csv")
     writers.write_table(
         adapters.solar_from_events(t.events).withColumn("note", F.lit("x")), path, "csv")
     return readers.scan_solar(t.spark, path)
@@ -206,7 +206,7 @@ def _(t: Inputs):
         "zone1_avg_set", "zone1_avg_temp", "zone1_heatcall_fraction",
         "zone2_avg_set", "zone2_avg_temp", "zone2_heatcall_fraction"])) + " FROM h", "h"))
 def _(t: Inputs):
-    path = f"{shared_folder(t.spark)}/hearthline/hourly-table"
+    path = scratch_path(t.spark, "hourly-table")
     writers.write_hourly(t.hourly, path)
     wide = columns.hourly_wide(readers.scan_hourly_cache(t.spark, path), [1, 2])
     wide = wide.drop("oat_f_forecast", "ws_mph_forecast")
