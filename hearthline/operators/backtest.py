@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hearthline.config import MODEL_FEATURES, HeatConfig
 from hearthline.functions.clock import is_weekend
 from hearthline.operators.features import delta_t, occupancy_index
-from hearthline.operators.regression import error_metrics, moment_columns
+from hearthline.operators.regression import error_metrics, moment_columns, usable_fits
 
 
 def refit_schedule(days: DataFrame, lookbacks: Column, cfg: HeatConfig) -> DataFrame:
@@ -94,8 +94,9 @@ def asof_fit(origins: DataFrame, fits: DataFrame) -> DataFrame:
     Joined on the house, along which origins are already partitioned; a house has one fit
     per refit day, so the other side is short. Spark broadcasts it below its size limit.
     """
-    params = fit_intervals(fits).select(
-        F.col("house_alias"), "n", "fit_day", "next_fit_day", "energy_ratio", "coefficients", "baseline_coefficients"
+    # a fit that failed still ends the service of the one before it
+    params = usable_fits(fit_intervals(fits)).select(
+        "house_alias", "n", "fit_day", "next_fit_day", "energy_ratio", "coefficients", "baseline_coefficients"
     )
     in_force = (F.col("day") > F.col("fit_day")) & (
         F.col("next_fit_day").isNull() | (F.col("day") <= F.col("next_fit_day"))

@@ -323,8 +323,10 @@ def channel_distribution(before: DataFrame, after: DataFrame) -> DataFrame:
     rows = long(before, "before").unionByName(long(after, "after"))
     keys = ["house_alias", "stage", "zone", "channel"]
     box = Window.partitionBy(*keys)
-    quartile = lambda p: F.percentile("value", F.lit(p)).over(box)
-    fenced = rows.withColumns({"q1": quartile(0.25), "median": quartile(0.5), "q3": quartile(0.75)})
+    quartiles = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(box)
+    fenced = rows.withColumn("q", quartiles).selectExpr(
+        *rows.columns, "q[0] AS q1", "q[1] AS median", "q[2] AS q3"
+    )
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = F.when(F.col("value").between(F.col("q1") - reach, F.col("q3") + reach), F.col("value"))
     summary = fenced.groupBy(*keys).agg(

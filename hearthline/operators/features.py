@@ -11,8 +11,8 @@ from hearthline.functions.zones import mean_zone_temp
 
 
 def delta_t(mean_temp: Column, oat: Column) -> Column:
-    """Indoor minus outdoor temperature, not below zero."""
-    return F.greatest(F.lit(0.0), mean_temp - oat)
+    """Indoor minus outdoor temperature, not below zero; unknown when either is."""
+    return F.when(mean_temp < oat, 0.0).otherwise(mean_temp - oat)
 
 
 def occupancy_index(hour_start: Column) -> Column:

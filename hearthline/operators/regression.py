@@ -185,9 +185,10 @@ def _refit_on_rows(
         for model, names in models.items():
             values = errors = np.full(len(names) + 1, np.nan)
             r2 = np.nan
-            if np.isfinite(ratio):
-                scale = np.array([ratio if n in _SCALED else 1.0 for n in names])
-                x = pdf[raw_columns(names)].to_numpy(dtype=float) * scale
+            scale = np.array([ratio if n in _SCALED else 1.0 for n in names])
+            x = pdf[raw_columns(names)].to_numpy(dtype=float) * scale
+            # without a load or a needed measurement there is nothing to fit
+            if np.isfinite(ratio) and np.isfinite(x).all():
                 x = np.column_stack([np.ones(len(x)), x])
                 values, errors, r2 = _row_fit(x, pdf[TARGET].to_numpy(dtype=float) * ratio)
             out[f"{model}_values"], out[f"{model}_errors"] = [list(values)], [list(errors)]
@@ -259,6 +260,12 @@ def fit_energy_params(features: DataFrame, n: int | None, cfg: HeatConfig) -> Da
     return solve_windows(windows, features, ["house_alias"], cfg)
 
 
+def usable_fits(fits: DataFrame) -> DataFrame:
+    """Fits that can predict: those with an energy ratio and every coefficient."""
+    known = [F.forall(c, lambda v: v.isNotNull()) for c in ("coefficients", "baseline_coefficients")]
+    return fits.where(F.col("energy_ratio").isNotNull() & known[0] & known[1])
+
+
 def linear(coefficients: Column, terms: list[Column]) -> Column:
     total = F.get(coefficients, F.lit(0))
     for i, term in enumerate(terms, start=1):
@@ -272,7 +279,9 @@ def _term(name: str) -> Column:
 
 def predict(features: DataFrame, params: DataFrame, cfg: HeatConfig) -> DataFrame:
     """Scaled load by both models next to the scaled actual load, never below zero."""
-    fits = params.select("house_alias", "energy_ratio", "coefficients", "baseline_coefficients", "first_day")
+    fits = usable_fits(params).select(
+        "house_alias", "energy_ratio", "coefficients", "baseline_coefficients", "first_day"
+    )
     zero = F.lit(0.0)
     return (
         features.join(fits, "house_alias")

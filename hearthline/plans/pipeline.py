@@ -6,7 +6,7 @@ from datetime import datetime
 from typing import NamedTuple
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthline.config import HeatConfig
@@ -138,11 +138,9 @@ def sweep_fits(features: DataFrame, min_n: int, max_n: int, cfg: HeatConfig) ->
 
 
 def _with_short_windows(nested: DataFrame, max_n: int) -> DataFrame:
-    first = nested.groupBy("house_alias").agg(F.min("first_day").alias("house_first_day"))
-    marked = nested.join(first, "house_alias")
-    whole = F.col("first_day") == F.col("house_first_day")
-    longer = F.when(whole, F.sequence("n", F.lit(max_n))).otherwise(F.array("n"))
-    return marked.withColumn("n", F.explode(longer)).drop("house_first_day")
+    whole = F.col("first_day") == F.min("first_day").over(Window.partitionBy("house_alias"))
+    longer = F.when(F.col("whole"), F.sequence("n", F.lit(max_n))).otherwise(F.array("n"))
+    return nested.withColumn("whole", whole).withColumn("n", F.explode(longer)).drop("whole")
 
 
 def sweep_n(features: DataFrame, min_n: int, max_n: int, cfg: HeatConfig, staged: bool = True) -> DataFrame:

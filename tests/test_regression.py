@@ -139,6 +139,18 @@ def test_no_load_gives_no_parameters_and_spares_other_houses(spark, cfg):
     assert out["busy"].well_posed
 
 
+def test_a_house_without_zones_has_no_fit_and_spares_others(spark, cfg):
+    at = NAMES.index
+    bare = [list(r) for r in planted("bare", days=3)]
+    for r in bare:
+        r[at("temp_avg")] = r[at("deltaT")] = r[at("windspeed_times_deltaT")] = None
+    features = frame(spark, [tuple(r) for r in bare] + planted("whole", days=12))
+    params = pipeline.energy_params(features, cfg)
+    out = {r.house_alias: r for r in params.collect()}
+    assert set(out["bare"].coefficients) == {None} and out["whole"].well_posed
+    assert {r.house_alias for r in R.predict(features, params, cfg).collect()} == {"whole"}
+
+
 def test_occupancy_indicators_enter_the_fit(spark):
     cfg = HeatConfig(include_occupancy=True)
     from hearthline.operators.features import occupancy_dummies, occupancy_index

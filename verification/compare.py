@@ -38,6 +38,18 @@ def rows_of(names: list[str], rows: list) -> list[tuple[str, ...]]:
     return sorted(tuple(plain(row[i]) for i in order) for row in rows)
 
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+         "timestamp_ntz": "TIMESTAMP"}
+
+
+def type_differences(df, description) -> list[str]:
+    """Columns whose Spark and DuckDB types do not correspond."""
+    sql_types = {d[0]: str(d[1]) for d in description}
+    return [
+        f"{name}: {kind} vs {sql_types.get(name)}" for name, kind in df.dtypes if TYPES.get(kind) != sql_types.get(name)
+    ]
+
+
 def compare(spark, connection, name: str, sf_dir: str) -> tuple[bool, str]:
     started = time.time()
     df = catalog.QUERIES[name](spark, sf_dir)
@@ -50,6 +62,8 @@ def compare(spark, connection, name: str, sf_dir: str) -> tuple[bool, str]:
     note = f"{len(spark_rows)} rows, spark {spark_seconds:.1f}s, sql {time.time() - started:.1f}s"
     if sorted(names) != sorted(df.columns):
         return False, f"{note}; columns {sorted(df.columns)} vs {sorted(names)}"
+    if type_differences(df, result.description):
+        return False, f"{note}; types {type_differences(df, result.description)}"
     if len(sql_rows) != len(spark_rows):
         return False, f"{note}; sql has {len(sql_rows)}"
     different = [(a, b) for a, b in zip(spark_rows, sql_rows) if a != b]
