@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthline.llm import quality, sharding
+from hearthline.llm import extraction, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": sharding.query,
+    "op3_extraction": extraction.query,
     "op5_quality": quality.query,
 }
 
