@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthline.llm import extraction, quality, sharding
+from hearthline.llm import extraction, quality, sharding, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": sharding.query,
     "op3_extraction": extraction.query,
     "op5_quality": quality.query,
+    "op8_token_store": token_store.query,
 }
 
 ORACLES: dict[str, str] = {}
