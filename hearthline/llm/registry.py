@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthline.llm import extraction, near_duplicates, quality, sharding, token_store
+from hearthline.llm import extraction, near_duplicates, quality, repeated_passages, sharding, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": near_duplicates.query,
     "op2_sharding": sharding.query,
     "op3_extraction": extraction.query,
+    "op4_repeated_passages": repeated_passages.query,
     "op5_quality": quality.query,
     "op8_token_store": token_store.query,
 }
