@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthline.llm import extraction, near_duplicates, quality, repeated_passages, sharding, token_store
+from hearthline.llm import extraction, near_duplicates, neighbours, quality, repeated_passages, sharding, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": near_duplicates.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_repeated_passages": repeated_passages.query,
     "op5_quality": quality.query,
     "op8_token_store": token_store.query,
+    "op9_neighbours": neighbours.query,
 }
 
 ORACLES: dict[str, str] = {}
