@@ -20,9 +20,13 @@ dictionary is trained on at most ``train_documents`` documents of least hashed i
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +39,7 @@ from pyspark.sql import functions as F
 from hearthline.llm.common import scratch, table
 
 BLOCK_BYTES = 256 * 1024
-CACHED_PIECES = 400_000
+CACHED_PIECES = 500_000
 ENCODED = "doc_id long, n_tokens int, ids_crc32 long, frame binary"
 BLOCKS = (
     "part int, block int, first_id long, last_id long, start long, doc_ids array<long>, offsets array<int>, "
@@ -43,34 +47,91 @@ BLOCKS = (
 )
 
 
+#: Letters of one byte in Latin-1, then ASCII marks without the apostrophe: two pieces to the tokenizer's
+#: pattern, untouched by its normal form.
+PLAIN = re.compile("([a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from 256."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [x for x in range(256) if x not in set(shown)]
+    return {x: chr(x) for x in shown} | {x: chr(256 + k) for k, x in enumerate(hidden)}
+
+
 class Encoder:
-    """Text to serialized ids, remembering the pieces it has seen."""
+    """Text to serialized ids, remembering the pieces it has seen.
+
+    A new piece of plain letters and marks goes to the tokenizer's model directly, word and marks
+    apart, as its own pattern would split it; every other piece goes through the whole tokenizer.
+    """
 
     def __init__(self, tokenizer_json: str, end_id: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        steps = json.loads(tokenizer_json)
+        kinds = [x["type"] for x in (steps.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        names = [x["type"] for x in (steps.get("normalizer") or {}).get("normalizers", [])]
+        # The short way is right for this pipeline of steps alone.
+        self.plain = kinds == ["Split", "ByteLevel"] and names == ["NFC", "Replace", "Lowercase"]
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
         largest = max(self.tokenizer.get_vocab_size(with_added_tokens=True) - 1, end_id)
         self.id_bytes = 2 if largest < 1 << 16 else 4
+        self.format = "H" if self.id_bytes == 2 else "I"
         self.end = self._pack([end_id])
         self.seen: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=f"<u{self.id_bytes}").tobytes()
+        return struct.pack(f"<{len(ids)}{self.format}", *ids)
+
+    def _whole(self, piece: str) -> bytes:
+        return self._pack(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            ids = self.words[word] = self._pack([x.id for x in self.model.tokenize(shown)])
+        return ids
+
+    def _marks(self, marks: str) -> bytes:
+        ids = self.words.get(marks)
+        if ids is None:
+            ids = self.words[marks] = self._whole(marks)
+        return ids
+
+    def _new(self, piece: bytes) -> bytes:
+        text = piece.decode()
+        plain = PLAIN.fullmatch(text) if self.plain else None
+        if not plain:
+            return self._whole(text)
+        word, marks = plain.groups()
+        return self._word(word.lower()) + (self._marks(marks) if marks else b"")
 
     def __call__(self, text: str | None) -> bytes:
         pieces = (text or "").encode().split()
-        new = list(set(pieces).difference(self.seen))
+        new = set(pieces).difference(self.seen)
         if new:
             if len(self.seen) + len(new) > CACHED_PIECES:
                 self.seen.clear()
-                new = list(set(pieces))
-            found = self.tokenizer.encode_batch([x.decode() for x in new], add_special_tokens=False)
-            self.seen.update(zip(new, (self._pack(x.ids) for x in found)))
+                new = set(pieces)
+            if len(self.words) > CACHED_PIECES:
+                self.words.clear()
+            for piece in new:
+                self.seen[piece] = self._new(piece)
         return b"".join(map(self.seen.__getitem__, pieces)) + self.end
 
 
+@cache
+def encoder(tokenizer_json: str, end_id: int) -> Encoder:
+    """One encoder for all tasks that a Python worker runs."""
+    return Encoder(tokenizer_json, end_id)
+
+
 def _crc(ids: bytes, id_bytes: int) -> int:
     return zlib.crc32(np.frombuffer(ids, f"<u{id_bytes}").astype("<u4").tobytes())
 
@@ -96,7 +157,7 @@ def train_dictionary(
     sample = docs.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer.value, end_id)
+        encode = encoder(tokenizer.value, end_id)
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"x": pa.array([encode(t)[:sample_bytes] for t in batch[0].to_pylist()], pa.binary())})
 
@@ -120,10 +181,10 @@ def write_store(
     tokenizer = spark.sparkContext.broadcast(tokenizer_json)  # one vocabulary file, whatever the input
     content = train_dictionary(docs, tokenizer, end_id, train_documents)
     digest = hashlib.sha256(content).hexdigest()
-    id_bytes = Encoder(tokenizer_json, end_id).id_bytes
+    id_bytes = encoder(tokenizer_json, end_id).id_bytes
 
     def encode_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer.value, end_id)
+        encode = encoder(tokenizer.value, end_id)
         shared = _dictionary(content)
         compress = (zstandard.ZstdCompressor(level=level, dict_data=shared) if shared else zstandard.ZstdCompressor(level=level)).compress
         for batch in batches:
