@@ -39,6 +39,7 @@ RANGE_ROWS = 1_000_000  # names a task sorts at once
 CHUNK_BYTES = 6 << 20
 PACKED = "range int, tids binary, counts binary, positions binary, names binary, shared binary"
 _PACKED_ARROW = pa.schema([("range", pa.int32()), *[(c, pa.binary()) for c in ("tids", "counts", "positions", "names", "shared")]])
+_MARKED_ARROW = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("tids", "counts", "positions")]])
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -174,16 +175,64 @@ def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(counts)), counts), np.frombuffer(row["tids"], "V16"), total - np.repeat(before, counts)
 
 
-def _settled(tids: np.ndarray, text: np.ndarray, position: np.ndarray) -> pa.RecordBatch:
-    """Rows (tid, positions) of marked positions; ``text`` in ascending order."""
-    starts = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1]))) if len(text) else np.zeros(0, np.int64)
-    ends = np.append(starts[1:], len(text))
-    return pa.RecordBatch.from_arrays(
-        [pa.array([tids[text[a]].tobytes() for a in starts], pa.binary()),
-         pa.array([position[a:b].astype("<u4").tobytes() for a, b in zip(starts, ends)], pa.binary())], ["tid", "positions"])
+def _settled(tids: np.ndarray, text: np.ndarray, position: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Marked positions packed by bucket of texts; ``text`` indexes ``tids``."""
+    if not len(text):
+        return
+    bucket_of = np.ascontiguousarray(tids).view("<u4").reshape(-1, 4)[:, 0] % np.uint32(buckets)
+    bucket = bucket_of[text]
+    order = np.lexsort((position, text, bucket))
+    text, position, bucket = text[order], position[order], bucket[order]
+    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    rows = []
+    for a, b in zip(cuts, np.append(cuts[1:], len(bucket))):
+        own, place = text[a:b], position[a:b]
+        starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        step = np.diff(place, prepend=0)
+        step[starts] = place[starts]
+        rows.append({
+            "bucket": int(bucket[a]), "tids": tids[own[starts]].tobytes(),
+            "counts": np.diff(np.append(starts, len(own))).astype("<u4").tobytes(), "positions": step.astype("<u4").tobytes(),
+        })
+    yield pa.RecordBatch.from_pylist(rows, schema=_MARKED_ARROW)
+
+
+def _by_text(marked: DataFrame, buckets: int) -> DataFrame:
+    """One row (tid, positions) for each text that has a marked position."""
+
+    def merge(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        texts, ids, positions, base = [], [], [], 0
+        for row in rows:
+            text, tids, position = _unpack(row)
+            texts.append(text + base)
+            ids.append(tids)
+            positions.append(position)
+            base += len(tids)
+        tids, same = np.unique(np.concatenate(ids), return_inverse=True)
+        text, position = same[np.concatenate(texts)], np.concatenate(positions)
+        order = np.lexsort((position, text))
+        text, position = text[order], position[order]
+        starts = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x.tobytes() for x in tids], pa.binary()),
+             pa.array([position[a:b].astype("<u4").tobytes() for a, b in zip(starts, np.append(starts[1:], len(text)))], pa.binary())],
+            ["tid", "positions"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and held[0]["bucket"] != row["bucket"]:
+                    yield from merge(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from merge(held)
+
+    return marked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "tid binary, positions binary")
 
 
-def _settle_range(rows: list[dict], name_bytes: int) -> pa.RecordBatch:
+def _settle_range(rows: list[dict], name_bytes: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Positions of one range whose name occurs at two places or was shared before."""
     texts, ids, positions, names, shared = [], [], [], [], []
     base = 0
@@ -214,11 +263,12 @@ def _settle_range(rows: list[dict], name_bytes: int) -> pa.RecordBatch:
     if len(text):
         new = np.concatenate(([True], (text[1:] != text[:-1]) | (position[1:] != position[:-1])))
         text, position = text[new], position[new]
-    return _settled(tids, text, position)
+    yield from _settled(tids, text, position, buckets)
 
 
 def _settle(packed: DataFrame, ranges: int, name_bytes: int) -> DataFrame:
-    """Rows (tid, positions): the marked positions of each text, a row per range."""
+    """Rows (tid, positions): the marked positions of each text."""
+    buckets = max(1, ranges // 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -226,18 +276,18 @@ def _settle(packed: DataFrame, ranges: int, name_bytes: int) -> DataFrame:
             for row in batch.to_pylist():
                 if row["range"] < 0:
                     text, tids, position = _unpack(row)
-                    yield _settled(tids, text, position)
+                    yield from _settled(tids, text, position, buckets)
                     continue
                 if held and held[0]["range"] != row["range"]:
-                    yield _settle_range(held, name_bytes)
+                    yield from _settle_range(held, name_bytes, buckets)
                     held = []
                 held.append(row)
         if held:
-            yield _settle_range(held, name_bytes)
+            yield from _settle_range(held, name_bytes, buckets)
 
     spread = F.when(F.col("range") < 0, F.xxhash64("tids")).otherwise(F.lit(0))
     dealt = packed.repartition(ranges, "range", spread).sortWithinPartitions("range")
-    return dealt.mapInArrow(run, "tid binary, positions binary")
+    return _by_text(dealt.mapInArrow(run, "bucket int, tids binary, counts binary, positions binary"), buckets)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], packer: Packer, places) -> Iterator[pa.RecordBatch]:
@@ -256,9 +306,9 @@ def _chunks(batches: Iterator[pa.RecordBatch], packer: Packer, places) -> Iterat
         yield pa.RecordBatch.from_pylist([row], schema=_PACKED_ARROW)
 
 
-def candidates(n: int, flags: list[bytes], length: int, modulus: int) -> np.ndarray:
+def candidates(n: int, flags: bytes, length: int, modulus: int) -> np.ndarray:
     """Starts of whole strings in a text of ``n`` bytes that rest on a shared name."""
-    p = np.concatenate([np.frombuffer(x, "<u4") for x in flags]).astype(np.int64)
+    p = np.frombuffer(flags, "<u4").astype(np.int64)
     last = n - length + 1
     edge = np.zeros(n + 2, np.int32)
     np.add.at(edge, np.maximum(p - modulus + 1, 0), 1)
@@ -289,13 +339,13 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, range_rows: int = RAN
 
     hits = stage(_settle(texts.mapInArrow(sample, PACKED), ranges, 5), "shared-names")
     size = hits.agg(F.sum(F.octet_length("positions"))).first()[0] or 0
-    flagged = hits.groupBy("tid").agg(F.collect_list("positions").alias("flags"))
+    flagged = hits.select("tid", F.col("positions").alias("flags"))
     whole = texts.groupBy("tid").agg(F.first("text").alias("text"))
     resting = stage(whole.join(flagged, "tid"), "resting-texts")
     drop_staged(hits)
     ranges = max(1, -(-int(size / 4 * modulus / len(cover)) // range_rows))
 
-    def remaining(data: np.ndarray, flags: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def remaining(data: np.ndarray, flags: bytes) -> tuple[np.ndarray, np.ndarray]:
         p = candidates(len(data), flags, length, modulus)
         return p, window_names(data, length)[p]
 
@@ -305,10 +355,10 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, range_rows: int = RAN
     return resting, stage(_settle(resting.mapInArrow(merge, PACKED), ranges, 8), "repeats")
 
 
-def cut(text: str, positions: list[bytes], length: int) -> tuple[list[tuple[int, int]], bytes]:
+def cut(text: str, positions: bytes, length: int) -> tuple[list[tuple[int, int]], bytes]:
     """Maximal removed runs [a, b) of bytes and the bytes that stay."""
     data = text.encode()
-    p = np.unique(np.concatenate([np.frombuffer(x, "<u4") for x in positions]).astype(np.int64))
+    p = np.unique(np.frombuffer(positions, "<u4").astype(np.int64))
     breaks = np.flatnonzero(np.diff(p) > length)
     starts, ends = p[np.concatenate(([0], breaks + 1))], p[np.append(breaks, len(p) - 1)] + length
     spans = list(zip(starts.tolist(), ends.tolist()))
@@ -344,9 +394,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, range_rows: int = RANG
                     })
                 yield pa.RecordBatch.from_pylist(out, schema=_CUT_ARROW)
 
-        found = repeats.groupBy("tid").agg(F.collect_list("positions").alias("positions"))
         cuts = stage(
-            resting.select("tid", "text").join(found, "tid")
+            resting.select("tid", "text").join(repeats, "tid")
             .mapInArrow(run, "tid binary, n_removed long, spans array<array<long>>, kept binary, sha string"), "cuts",
         )
         drop_staged(resting, repeats)
