@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthline.llm import extraction, line_templates, near_duplicates, neighbours, quality, repeated_passages, sharding, token_store
+from hearthline.llm import decontamination, extraction, line_templates, near_duplicates, neighbours, quality, repeated_passages, sharding, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": near_duplicates.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_extraction": extraction.query,
     "op4_repeated_passages": repeated_passages.query,
     "op5_quality": quality.query,
+    "op6_decontamination": decontamination.query,
     "op7_line_templates": line_templates.query,
     "op8_token_store": token_store.query,
     "op9_neighbours": neighbours.query,
