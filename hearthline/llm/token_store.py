@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from hearthline.llm.common import scratch, table
 
 BLOCK_BYTES = 256 * 1024
-CACHED_PIECES = 500_000
+CACHED_PIECES = 800_000
 ENCODED = "doc_id long, n_tokens int, ids_crc32 long, frame binary"
 BLOCKS = (
     "part int, block int, first_id long, last_id long, start long, doc_ids array<long>, offsets array<int>, "
@@ -169,7 +169,7 @@ def train_dictionary(
 
 
 def write_store(
-    docs: DataFrame, path: str, tokenizer_json: str, end_id: int = 2, train_documents: int = 2000, level: int = 3
+    docs: DataFrame, path: str, tokenizer_json: str, end_id: int = 2, train_documents: int = 2000, level: int = 1
 ) -> str:
     """Encode every whole text of ``docs`` (doc_id, text) and write the store to ``path``.
 
