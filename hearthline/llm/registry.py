@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthline.llm import decontamination, extraction, line_templates, near_duplicates, neighbours, quality, repeated_passages, sharding, token_store
+from hearthline.llm import decontamination, extraction, line_templates, mixing, near_duplicates, neighbours, quality, repeated_passages, sharding, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_mixing": mixing.query,
     "op1_near_duplicates": near_duplicates.query,
     "op2_sharding": sharding.query,
     "op3_extraction": extraction.query,
