@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 from hearthline.llm.common import stage, table
 
 
+LEAST_ROWS = 64  # of the sample in a range; small tables have fewer ranges
+
+
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     """Places of grid cells (n x dims, ``bits`` bits each) along the Hilbert curve.
 
@@ -59,7 +62,7 @@ class Curves:
     directions: np.ndarray  # orderings x dims x vector length
     levels: np.ndarray  # orderings x dims x quantiles of the projections
     shifts: np.ndarray  # orderings x dims, in 0..1
-    cuts: np.ndarray  # orderings x (parts - 1) keys
+    cuts: tuple[np.ndarray, ...]  # of each ordering: the different keys at which a range begins
     bits: int
 
     def keys(self, vectors: np.ndarray, ordering: int) -> np.ndarray:
@@ -83,10 +86,11 @@ def fit_curves(sample: np.ndarray, orderings: int, dims: int, bits: int, parts:
     directions = np.stack([np.linalg.qr(rng.normal(size=(length, length)))[0][:, :dims].T for _ in range(orderings)])
     shifts = rng.random((orderings, dims))
     levels = np.stack([np.quantile(sample @ d.T, np.linspace(0, 1, 257), axis=0).T for d in directions])
-    bare = Curves(directions, levels, shifts, np.zeros((orderings, 0), np.int64), bits)
+    bare = Curves(directions, levels, shifts, (), bits)
+    parts = min(parts, max(1, len(sample) // LEAST_ROWS))
     keys = [np.sort(bare.keys(sample, k)) for k in range(orderings)]
     at = (np.arange(1, parts) * len(sample)) // parts
-    return Curves(directions, levels, shifts, np.stack([x[at] for x in keys]), bits)
+    return Curves(directions, levels, shifts, tuple(np.unique(x[at]) for x in keys), bits)
 
 
 def usable(vector: Column) -> Column:
@@ -216,7 +220,8 @@ def search(
 def _best(asking: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> pa.RecordBatch:
     scores = q @ x.T
     scores[asking[:, None] == ids[None, :]] = -np.inf
-    top = best_of(scores, k)
+    # As many rows as surely hold k different ids.
+    top = best_of(scores, k * int(np.unique(ids, return_counts=True)[1].max()))
     exact = np.einsum("qd,qkd->qk", q, x[top])
     valid = np.take_along_axis(scores, top, axis=1) > -np.inf
     return pa.RecordBatch.from_arrays(
