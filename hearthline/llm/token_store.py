@@ -207,8 +207,9 @@ def write_store(
             nonlocal block, start, rows
             ids, counts, frames = [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]
             ends = np.cumsum([len(x) for x in frames])
+            named = [x for x in ids if x is not None] or [None]
             row = {
-                "part": part, "block": block, "first_id": ids[0], "last_id": ids[-1], "start": start, "doc_ids": ids,
+                "part": part, "block": block, "first_id": named[0], "last_id": named[-1], "start": start, "doc_ids": ids,
                 "offsets": [0, *ends.tolist()], "counts": counts, "payload": b"".join(frames), "id_bytes": id_bytes,
                 "dictionary": digest,
             }
