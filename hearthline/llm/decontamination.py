@@ -22,6 +22,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +32,22 @@ from pyspark.sql import functions as F
 from hearthline.llm.common import drop_staged, stage, table
 
 WORD = re.compile(r"\w+")
+#: Marks beyond ASCII; without them words can be cut from the bytes.
+FOREIGN_MARK = re.compile(r"[^\x00-\x7f\w]")
+BLANKS = bytes(x if x >= 128 or chr(x).isalnum() or x == 95 else 32 for x in range(256))
 WIDTHS = (16, 32, 64, 128, 256, 512)
 PASSAGE = pa.schema([
-    ("tid", pa.int64()), ("terms", pa.list_(pa.int32())), ("weights", pa.list_(pa.float64())), ("stretch", pa.list_(pa.string())),
+    ("tid", pa.int64()), ("terms", pa.list_(pa.int32())), ("weights", pa.list_(pa.float64())), ("stretch", pa.list_(pa.binary())),
 ])
-PASSAGE_DDL = "tid long, terms array<int>, weights array<double>, stretch array<string>"
+PASSAGE_DDL = "tid long, terms array<int>, weights array<double>, stretch array<binary>"
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+def words_of(text: str | None) -> list[bytes]:
+    """The words ``\\w+`` of the lower-cased text, in UTF-8."""
+    low = (text or "").lower()
+    if FOREIGN_MARK.search(low):
+        low = " ".join(WORD.findall(low))
+    return low.encode().translate(BLANKS).split()
 
 
 @dataclass(frozen=True)
@@ -47,9 +55,9 @@ class Items:
     """A block of benchmark items over one vocabulary."""
 
     ids: tuple
-    words: tuple[tuple[str, ...], ...]
-    answers: tuple[tuple[str, ...], ...]
-    vocabulary: dict[str, int]
+    words: tuple[tuple[bytes, ...], ...]
+    answers: tuple[tuple[bytes, ...], ...]
+    vocabulary: dict[bytes, int]
 
     def vectors(self, weight: np.ndarray) -> np.ndarray:
         out = np.zeros((len(self.words), len(self.vocabulary)))
@@ -73,7 +81,7 @@ def read_items(rows: list) -> Items | None:
     return Items(ids, words, answers, {w: k for k, w in enumerate(sorted({w for x in words for w in x}))})
 
 
-def inverse_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> np.ndarray:
+def inverse_frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
     """IDF of the items' words over all rows of ``docs``."""
     size = len(vocabulary)
 
@@ -117,13 +125,14 @@ def passages(docs: DataFrame, items: Items, weight: np.ndarray, cosine: float) -
     unknown = len(vocabulary)
     part = np.hstack([part, np.zeros((len(part), 1))])  # for words outside the vocabulary
     by_word = [np.flatnonzero(x) for x in part.T]
+    by_weight = [x[k] for x, k in zip(part.T, by_word)]
     widths = np.array([next((w for w in WIDTHS if w >= len(x)), len(x)) for x in items.words])
 
     def windows(at: np.ndarray) -> set[tuple[int, int]]:
         """Start and width of the windows that may reach an item; ``at`` numbers the words."""
-        present = np.unique(at)
+        present = np.flatnonzero(np.bincount(at)).tolist()
         touched = np.concatenate([by_word[w] for w in present])
-        weights = np.concatenate([part[by_word[w], w] for w in present])
+        weights = np.concatenate([by_weight[w] for w in present])
         held = np.bincount(touched, weights, minlength=len(need))
         found = set()
         for k in np.flatnonzero(held >= need):
@@ -143,7 +152,7 @@ def passages(docs: DataFrame, items: Items, weight: np.ndarray, cosine: float) -
                 words = words_of(text.as_py())
                 if not words:
                     continue
-                at = np.fromiter((vocabulary.get(w, unknown) for w in words), np.int64, len(words))
+                at = np.fromiter(map(vocabulary.get, words, repeat(unknown)), np.int64, len(words))
                 for start, width in sorted(windows(at)):
                     known = at[start:start + width]
                     terms, counts = np.unique(known[known < unknown], return_counts=True)
@@ -209,9 +218,9 @@ def latent_space(found: DataFrame, own: np.ndarray, rank: int, seed: int) -> np.
     return basis @ vectors[:, held]
 
 
-def common_subsequence(a: tuple[str, ...], b: list[str]) -> int:
+def common_subsequence(a: tuple[bytes, ...], b: list[bytes]) -> int:
     """Length of the longest common subsequence."""
-    places: dict[str, list[int]] = {}
+    places: dict[bytes, list[int]] = {}
     for k, word in enumerate(b):
         places.setdefault(word, []).append(k)
     ends: list[int] = []  # least end of a common subsequence of each length
