@@ -9,12 +9,13 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from hearthline.session import local_session  # noqa: E402
+from hearthline.session import local_session, use_folder  # noqa: E402
 from verification.catalog import QUERIES  # noqa: E402
 
 HEADLINE = (
@@ -36,6 +37,7 @@ HEADLINE = (
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", str(os.cpu_count() or 4)))
+    use_folder(tempfile.mkdtemp(prefix="hearthline-bench-"))
     spark = local_session(cpus, shuffle_partitions=cpus)
     spark.range(1000).selectExpr("sum(id)").collect()
     seconds: dict[str, float] = {}

@@ -52,7 +52,10 @@ def zone_struct_from_wide(wide: DataFrame) -> DataFrame:
         F.struct(F.lit(z).cast("int").alias("zone"), *[part(z, f) for f in _ZONE_FIELDS])
         for z in zones_in_columns(wide.columns)
     ]
+    # a header may name zones of other houses: without any value there is no such zone here
     zones = F.array(*structs) if structs else F.array()
+    if structs:
+        zones = F.filter(zones, lambda z: F.coalesce(*[z[f] for f in _ZONE_FIELDS]).isNotNull())
     return wide.withColumn("zones", zones.cast(_HOURLY_TYPES["zones"].dataType))
 
 

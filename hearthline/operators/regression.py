@@ -145,16 +145,23 @@ def _solver(names: tuple[str, ...], cfg: HeatConfig):
 
 
 def _row_fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Minimum-norm least squares with classical standard errors, on the rows themselves."""
-    values, *_ = np.linalg.lstsq(x, y, rcond=None)
-    residual = y - x @ values
-    ssr, sst = float(residual @ residual), float(((y - y.mean()) ** 2).sum())
-    rank, width = int(np.linalg.matrix_rank(x)), x.shape[1]
-    errors = np.full(width, np.nan)
-    if rank == width:
-        errors = np.sqrt(ssr / max(len(y) - rank, 1) * np.diag(np.linalg.inv(x.T @ x)))
-    r2 = float(ssr == 0) if sst == 0 else 1 - ssr / sst
-    return values, errors, r2
+    """Least squares on the rows themselves, all of it from one singular value decomposition.
+
+    Directions that carry nothing are left out: that gives the coefficients of least norm. With
+    any left out there are no standard errors.
+    """
+    left, sizes, right = np.linalg.svd(x, full_matrices=False)
+    carried = sizes > sizes.max(initial=0.0) * max(x.shape) * np.finfo(float).eps
+    scaled = right[carried].T / sizes[carried]
+    projected = left[:, carried].T @ y
+    values = scaled @ projected
+    spread = y - y.mean()
+    total, missed = spread @ spread, y - x @ values
+    unexplained = float(missed @ missed)
+    freedom = max(len(y) - int(carried.sum()), 1)
+    full = carried.sum() == x.shape[1]
+    errors = np.sqrt((scaled**2).sum(axis=1) * unexplained / freedom) if full else np.full(x.shape[1], np.nan)
+    return values, errors, float(1 - unexplained / total) if total else float(unexplained == 0)
 
 
 def _refit_on_rows(

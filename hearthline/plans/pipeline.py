@@ -31,16 +31,21 @@ def build_hourly(
     start: datetime,
     end: datetime,
     cfg: HeatConfig,
+    substring: bool = False,
 ) -> DataFrame:
     """Raw telemetry, sensors and forecasts to one hourly row per house.
 
     ``start`` and ``end`` are naive local times; every hour between them gets a row. Each
-    input is scanned once, and everything meets in one shuffle of hourly rows.
+    input is scanned once, and everything meets in one shuffle of hourly rows. Only rows of
+    ``houses`` are taken; they are told apart before any shuffle. With ``substring`` a house
+    also owns stored aliases that contain its name.
     """
+    houses = houses.select(readers.house_key(F.col("house_alias")).alias("house_alias")).distinct()
     since, until = utc(start, cfg.timezone), utc(end, cfg.timezone)
     seconds = readers.scan_readings_1s(readings_1s, since, until, telemetry.CHANNELS_READ)
     named = readers.scan_readings_with_channels(readings, channels, since, until)
     parsed = readers.scan_forecast_messages(messages, since, until, cfg)
+    seconds, named, parsed = (readers.rows_of(x, houses, substring) for x in (seconds, named, parsed))
 
     wanted = F.lit(True).alias("wanted")
     slots = merge.merge_hours(
@@ -159,11 +164,12 @@ def sweep_n(features: DataFrame, min_n: int, max_n: int, cfg: HeatConfig, staged
 
 
 def house_status(
-    houses: DataFrame, hourly: DataFrame, features: DataFrame, cfg: HeatConfig, n: int
+    houses: DataFrame, hourly: DataFrame, features: DataFrame, cfg: HeatConfig, n: int | None
 ) -> DataFrame:
     """What could be computed for each requested house, and what stopped the rest.
 
-    One house without usable data never stops the others; it only shows up here.
+    One house without usable data never stops the others; it only shows up here. Without ``n``
+    there is no backtest, and its status is null.
     """
     loaded = hourly.groupBy("house_alias").agg(F.count("*").alias("n_hours"))
     usable = features.groupBy("house_alias").agg(
@@ -175,12 +181,13 @@ def house_status(
     rows = water.rows.groupBy("house_alias").agg(F.count("*").alias("n_rswt_rows"))
     bands = water.bands.groupBy("house_alias").agg(F.count("rwt_slope").alias("n_bands"))
     flows = water.water.select("house_alias", F.col("n_hours").alias("n_water"))
-    out = houses.select("house_alias").distinct()
+    out = houses.select(readers.house_key(F.col("house_alias")).alias("house_alias")).distinct()
     for part in (loaded, usable, rows, bands, flows):
         out = out.join(part, "house_alias", "left")
     count = lambda c: F.coalesce(F.col(c), F.lit(0))
     unusable = F.when(count("n_hours") == 0, "no_hourly_data").when(count("n_rows") == 0, "no_usable_rows")
-    needed = max(cfg.min_fit_days, 1) if cfg.grow_window else n
+    needed = max(cfg.min_fit_days, 1) if cfg.grow_window else n or 1
+    backtest = F.coalesce(unusable, F.when(count("n_days") < needed, "no_trailing_fit"), F.lit("ok"))
     return out.select(
         "house_alias",
         count("n_hours").cast("bigint").alias("n_hours"),
@@ -193,7 +200,5 @@ def house_status(
             .when(count("n_water") == 0, "no_chc_water"),
             F.lit("ok"),
         ).alias("rswt_status"),
-        F.coalesce(unusable, F.when(count("n_days") < needed, "no_trailing_fit"), F.lit("ok")).alias(
-            "backtest_status"
-        ),
+        (F.lit(None).cast("string") if n is None else backtest).alias("backtest_status"),
     )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,44 +31,35 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     return configure(spark)
 
 
-_local_folder: str | None = None
+_folder: str | None = None
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder named by ``spark.checkpoint.dir``.
+def use_folder(path: str | None) -> None:
+    """Name the shared folder for sessions without ``spark.checkpoint.dir``."""
+    global _folder
+    _folder = path
 
-    A single-machine session without that setting uses one fresh temporary folder; on a
-    cluster without it there is no shared place, and ``None`` is returned.
-    """
-    global _local_folder
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        return None
-    if _local_folder is None:
-        _local_folder = tempfile.mkdtemp(prefix="hearthline-")
-    return _local_folder
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, else the one named by ``use_folder``."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or _folder
+    if not named:
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share, or name one with use_folder")
+    return named.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder."""
-    folder = shared_folder(spark)
-    if folder is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return f"{folder.rstrip('/')}/hearthline/{label}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/hearthline/{label}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to shared storage once and continue from the written table.
 
     For a frame with several consumers this replaces repeated computation by one write,
-    cuts lineage, and survives lost executors; readers still prune columns. Without a
-    shared folder the frame is returned as it is: same rows, computed per consumer.
+    cuts lineage, and survives lost executors; readers still prune columns.
     """
     spark = df.sparkSession
-    if shared_folder(spark) is None:
-        return df
     path = scratch_path(spark, label)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -48,6 +48,19 @@ def of_houses(df: DataFrame, houses: list[str] | None, column: str = "house_alia
     return df.where(house_key(F.col(column)).isin([h.strip().lower() for h in houses]))
 
 
+def rows_of(df: DataFrame, houses: DataFrame, substring: bool = False) -> DataFrame:
+    """Rows of the requested houses, under the requested name.
+
+    ``houses`` has normalised names. With ``substring`` the distinct aliases of ``df`` are
+    matched first, a small table; an alias that contains several names goes to each.
+    """
+    if not substring:
+        return df.join(houses, "house_alias", "left_semi")
+    aliases = df.select(F.col("house_alias").alias("stored")).distinct()
+    owned = aliases.join(houses, F.col("stored").contains(F.col("house_alias"))).select("stored", "house_alias")
+    return df.withColumnRenamed("house_alias", "stored").join(owned, "stored").select(*df.columns)
+
+
 def scan_readings_1s(
     readings_1s: DataFrame,
     start: datetime,
@@ -124,13 +137,22 @@ def scan_hourly_cache(spark: SparkSession, path: str) -> DataFrame:
 def scan_hourly_csv(spark: SparkSession, path: str, house: str | None = None) -> DataFrame:
     """Wide hourly CSV files: unknown columns dropped, absent ones null.
 
-    Either one house's file, or a directory per house as the writer lays it out. Only a
-    header line is looked at to find the zones; blanks and NaN become null.
+    Either one house's file, or a directory per house as the writer lays it out. Each file is
+    read by its own header; blanks and NaN become null. A zone without any value in a row is
+    not a zone of that row.
     """
-    wide = spark.read.option("header", True).csv(path)
-    if house is not None:
-        wide = wide.withColumn("house_alias", F.lit(house))
-    return conform_columns(zone_struct_from_wide(wide))
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"))
+    headers = lines.where(F.col("value").rlike('(^|,)"?hour_start"?(,|$)'))
+    out = None
+    # a row per header, with the files that have it: as many names as there are files
+    for row in headers.groupBy("value").agg(F.collect_set("file").alias("files")).orderBy("value").collect():
+        reader = spark.read.option("header", True)
+        wide = (reader.option("basePath", path) if house is None else reader).csv(row.files)
+        if house is not None:
+            wide = wide.withColumn("house_alias", F.lit(house))
+        part = conform_columns(zone_struct_from_wide(wide))
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], schemas.HOURLY) if out is None else out
 
 
 def scan_solar(spark: SparkSession, path: str) -> DataFrame:

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from hearthline.config import FORECAST_CHANNELS, HeatConfig
 from hearthline.operators.columns import hourly_wide
 
-MODES = ("error", "overwrite", "append")
-
 
 def _named(arrays: dict[str, str], names: list[str]) -> list[Column]:
     return [
@@ -57,8 +55,8 @@ def run_manifest(
 
 
 def write_run_manifest(manifest: DataFrame, path: str) -> None:
-    """JSON lines; appending adds later houses to the same run."""
-    manifest.write.mode("append").json(path)
+    """JSON lines in a folder per house: writing a house again replaces its entry alone."""
+    manifest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("house_alias").json(path)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
@@ -78,8 +76,16 @@ def write_hourly(hourly: DataFrame, path: str, mode: str = "overwrite") -> None:
     ordered.sortWithinPartitions("house_alias", "hour_start").write.mode(mode).parquet(path)
 
 
-def write_hourly_csv(hourly: DataFrame, path: str, zones: list[int], mode: str = "overwrite") -> None:
-    """Wide CSV in a directory per house, sorted by hour, missing values blank."""
+def write_hourly_csv(hourly: DataFrame, path: str, zones: list[int] | None = None, mode: str = "overwrite") -> None:
+    """Wide CSV in a directory per house, sorted by hour, missing values blank.
+
+    Zones are those of the data unless named; naming fewer than the data has is an error.
+    """
+    # as many rows as there are zone numbers in any house
+    found = sorted(r[0] for r in hourly.select(F.explode("zones.zone")).distinct().collect())
+    if zones is not None and not set(found) <= set(zones):
+        raise ValueError(f"the data has zones {found}, not only {zones}")
+    zones = found if zones is None else zones
     wide = hourly_wide(hourly, zones)
     text = wide.withColumns({c: F.to_json(c, {"ignoreNullFields": "false"}) for c in FORECAST_CHANNELS})
     text.withColumn("hour_start", F.date_format("hour_start", "yyyy-MM-dd'T'HH:mm:ss")).repartitionByRange(

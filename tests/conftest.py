@@ -7,14 +7,15 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from hearthline import HeatConfig, schemas  # noqa: E402
-from hearthline.session import local_session  # noqa: E402
+from hearthline.session import local_session, use_folder  # noqa: E402
 
 T0 = datetime(2024, 1, 1)
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = local_session("*", 4)
+    use_folder(str(tmp_path_factory.mktemp("staged")))
     yield session
     session.stop()
 

@@ -59,6 +59,24 @@ def test_wide_csv_round_trips_and_is_sorted_with_blanks(spark, tmp_path):
     assert sorted(map(str, back.collect())) == sorted(map(str, frame.collect()))
 
 
+def test_houses_with_different_zones_survive_the_csv(spark, tmp_path):
+    rows = [hour_row(i, house=h, zones=[zone(k) for k in zones]) for h, zones in (("one", (1,)), ("two", (1, 2))) for i in range(4)]
+    frame = hourly(spark, rows)
+    writers.write_hourly_csv(frame, str(tmp_path / "c"))
+    back = readers.scan_hourly_csv(spark, str(tmp_path / "c"))
+    assert sorted(map(str, back.collect())) == sorted(map(str, frame.collect()))
+
+
+def test_each_csv_file_is_read_by_its_own_header(spark, tmp_path):
+    for house, text in (("a", "hour_start,oat_f,zone1_avg_set,zone1_avg_temp\n2024-01-01 00:00:00,1,68,67\n"),
+                        ("b", "hour_start,zone3_avg_temp,oat_f,zone3_avg_set\n2024-01-01 00:00:00,60,2,\n")):
+        (tmp_path / f"house_alias={house}").mkdir()
+        (tmp_path / f"house_alias={house}" / "x.csv").write_text(text)
+    out = {r.house_alias: r for r in readers.scan_hourly_csv(spark, str(tmp_path)).collect()}
+    assert tuple(out["a"].zones[0]) == (1, 68.0, 67.0, None) and out["a"].oat_f == 1.0
+    assert tuple(out["b"].zones[0]) == (3, None, 60.0, None) and out["b"].oat_f == 2.0
+
+
 def test_csv_of_one_house_with_odd_columns(spark, tmp_path):
     path = tmp_path / "x.csv"
     path.write_text(
@@ -79,7 +97,7 @@ def test_solar_csv_reads_two_columns(spark, tmp_path):
 
 
 def test_manifest_appends_houses_and_writes_open_bounds_as_inf(spark, cfg, tmp_path):
-    for house in ("a", "b"):
+    for house in ("a", "b", "a"):
         houses = spark.createDataFrame([(house,)], "house_alias string")
         manifest = writers.run_manifest(houses, T0, T0 + timedelta(days=1), 123, cfg)
         writers.write_run_manifest(manifest, str(tmp_path / "m"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from datetime import datetime
-from functools import cached_property
+from functools import cache, cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from hearthline.operators import backtest as B
 from hearthline.operators import clean, columns, features as feat, forecast, merge, regression as R
 from hearthline.operators import rswt, sensors, sweep, telemetry
 from hearthline.plans import pipeline as P
-from hearthline.session import configure, scratch_path, stage
+from hearthline.session import configure, scratch_path, stage, use_folder
 from hearthline.sources import adapters, readers, writers
 from verification import sqlparts as Q
 from verification.sqlparts import S, query
@@ -30,11 +31,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+@cache
+def _own_folder() -> str:
+    """Scratch space of a check on one machine."""
+    return tempfile.mkdtemp(prefix="hearthline-check-")
+
+
 class Inputs:
     """Input frames of one scale, built when asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = configure(spark)
+        if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local["):
+            use_folder(_own_folder())
         self.sf_dir = sf_dir
         self.cfg = HeatConfig()
         self.since, self.until = P.utc(START, self.cfg.timezone), P.utc(END, self.cfg.timezone)
