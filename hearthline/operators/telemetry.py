@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthline.config import FLOW_UNIT, KG_PER_US_GALLON, WATER_TEMP_UNIT, HeatConfig
-from hearthline.functions.clock import local_hour
+from hearthline.functions.clock import local_hour, local_time
 from hearthline.functions.numbers import celsius_to_f, settle, thermal_power_kw
 
 # output column -> (channel, unit, scale)
@@ -45,9 +45,10 @@ def flow_segments(per_second: DataFrame, start: datetime, cfg: HeatConfig) -> Da
     A segment is a run of consecutive seconds with positive flow. Its start is carried
     forward inside a (house, batch) window, which holds at most ``batch_days`` times
     86,400 rows however large the fleet or the period is. A run restarts at a batch edge.
+    Edges are whole local days after ``start``, so a clock change doesn't move them.
     """
-    day_seconds = cfg.batch_days * 86400
-    batch = F.floor(F.timestamp_diff("SECOND", F.lit(start).cast("timestamp_ntz"), F.col("ts")) / day_seconds)
+    first, now = (local_time(x, cfg.timezone) for x in (F.lit(start).cast("timestamp_ntz"), F.col("ts")))
+    batch = F.floor(F.timestamp_diff("SECOND", first, now) / (cfg.batch_days * 86400))
     in_time = Window.partitionBy("house_alias", "batch").orderBy("ts")
     flowing = F.col("dist_flow_gpm") > 0
     second = F.expr("interval 1 second")

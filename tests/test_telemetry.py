@@ -1,5 +1,6 @@
 import random
 from datetime import datetime, timedelta
+from zoneinfo import ZoneInfo
 
 import pytest
 
@@ -235,3 +236,12 @@ def test_wall_clock_skeleton_has_every_hour_on_clock_change_days(spark, cfg):
     spring = merge.expected_hours(houses, datetime(2026, 3, 8), datetime(2026, 3, 9))
     autumn = merge.expected_hours(houses, datetime(2025, 11, 2), datetime(2025, 11, 3))
     assert spring.count() == 24 == autumn.count()
+
+
+@pytest.mark.parametrize("start, day", [(datetime(2025, 11, 1, 4), datetime(2025, 11, 6)), (datetime(2026, 3, 6, 5), datetime(2026, 3, 11))])
+def test_batch_edges_stay_at_local_midnight(spark, cfg, start, day):
+    zone = ZoneInfo(cfg.timezone)
+    edge = day.replace(tzinfo=zone).astimezone(ZoneInfo("UTC")).replace(tzinfo=None)
+    frame = spark.createDataFrame([("h", edge + timedelta(seconds=k), 1.0) for k in (-1, 0)], "house_alias string, ts timestamp_ntz, dist_flow_gpm double")
+    out = telemetry.flow_segments(frame, start, cfg).orderBy("ts").collect()
+    assert [r.batch for r in out] == [0, 1]
