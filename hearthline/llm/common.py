@@ -10,7 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 _own_folder: str | None = None
 
 
+ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ARROW_ROWS = 2000  # whole texts are large rows: batches of Spark's default length crowd the workers
+
+
+def _text_batches(spark: SparkSession) -> None:
+    if int(spark.conf.get(ARROW)) > ARROW_ROWS or int(spark.conf.get(ARROW)) <= 0:
+        spark.conf.set(ARROW, str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table; the session's Arrow batches are kept short enough for whole texts."""
+    _text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,6 +52,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
     Cuts the lineage: a lost executor costs no more than rereading files.
     """
+    _text_batches(df.sparkSession)
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
