@@ -37,7 +37,7 @@ HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 ASIDE = frozenset("aside footer form menu nav".split())
 #: Words of class, id or role that name a container beside the article.
 BESIDE = frozenset(
-    "ad ads adv advert advertisement advertising adverts alert banner breadcrumb breadcrumbs byline consent contentinfo "
+    "ad ads adv advert advertisement advertising adverts alert banner breadcrumb breadcrumbs complementary consent contentinfo "
     "cookie cookies copyright disclaimer dialog feedback foot footer form gdpr header legal login masthead menu modal nav "
     "navbar navigation newsletter notice notices notification outbrain pager pagination popup promo promoted promotion "
     "recommend recommended related search share sharing sidebar signup skip social sponsor sponsored subscribe "

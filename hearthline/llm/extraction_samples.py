@@ -35,6 +35,8 @@ _QUOTE = (1, f"<blockquote>{_MIDDLE}</blockquote>")
 _LINKED = (1, '<p>See <a href="/m">the map of the valley</a>.</p>')
 _ALL_LINK = (1, '<p><a href="/r">The full report of the water board</a></p>')
 
+_TINY_LINK = (1, '<p><a href="/r">Here</a></p>')
+
 #: Each sample is a page in parts; the parts together are the page.
 SAMPLES: list[list[tuple[int, str]]] = [
     [(0, _NAV), (0, _AD), *_article(_TITLE, _TEXT, _SHORT, _MID), (0, _FOOT)],
@@ -49,6 +51,8 @@ SAMPLES: list[list[tuple[int, str]]] = [
     [(0, _NAV), (0, _SIDE), *_article(_SHORT, _LIST, _SHORT), (0, _COMMENTS), (0, _AD), (0, _FOOT)],
     [(0, _NAV), *_article(_TEXT, (0, _AD), _MID, (0, _COMMENTS)), (0, _FOOT)],
     [(0, _HEADER), (0, _COOKIE), (0, _SIDEBAR), *_article(_TITLE, _SHORT, _MID, _ALL_LINK, tag="main"), (0, _FOOT)],
+    [(0, _NAV), *_article(_TINY_LINK, _TEXT, _TINY_LINK, _LINKED, _TINY_LINK), (0, _FOOT)],
+    [(0, _AD), *_article(_SHORT, _TINY_LINK, tag="main"), (0, _BARE_MENU)],
     [_TITLE, _TEXT, _TEXT],
     [_SHORT],
     [(1, "High water in the valley")],
