@@ -91,17 +91,19 @@ def fit_intervals(fits: DataFrame) -> DataFrame:
 def asof_fit(origins: DataFrame, fits: DataFrame) -> DataFrame:
     """Each origin with the latest fit before its day, once per look-back.
 
-    Joined on the house, along which origins are already partitioned; a house has one fit
-    per refit day, so the other side is short. Spark broadcasts it below its size limit.
+    Every fit is spread over the days it serves, the last one up to the house's last origin,
+    and joined on house and day: a pair that is made is a pair that is kept.
     """
     # a fit that failed still ends the service of the one before it
     params = usable_fits(fit_intervals(fits)).select(
         "house_alias", "n", "fit_day", "next_fit_day", "energy_ratio", "coefficients", "baseline_coefficients"
     )
-    in_force = (F.col("day") > F.col("fit_day")) & (
-        F.col("next_fit_day").isNull() | (F.col("day") <= F.col("next_fit_day"))
+    last = origins.groupBy("house_alias").agg(F.max("day").alias("last_day"))
+    until = F.least(F.coalesce("next_fit_day", "last_day"), F.col("last_day"))
+    served = params.join(last, "house_alias").where(F.col("fit_day") < until).withColumn(
+        "day", F.explode(F.sequence(F.date_add("fit_day", 1), until))
     )
-    return origins.join(params, "house_alias").where(in_force).drop("next_fit_day")
+    return origins.join(served.drop("next_fit_day", "last_day"), ["house_alias", "day"])
 
 
 def origin_lead_join(features: DataFrame, cfg: HeatConfig) -> DataFrame:
