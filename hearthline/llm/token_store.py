@@ -113,17 +113,20 @@ class Encoder:
         return self._word(word.lower()) + (self._marks(marks) if marks else b"")
 
     def __call__(self, text: str | None) -> bytes:
+        if len(self.seen) > CACHED_PIECES:
+            self.seen.clear()
+        if len(self.words) > CACHED_PIECES:
+            self.words.clear()
         pieces = (text or "").encode().split()
-        new = set(pieces).difference(self.seen)
-        if new:
-            if len(self.seen) + len(new) > CACHED_PIECES:
-                self.seen.clear()
-                new = set(pieces)
-            if len(self.words) > CACHED_PIECES:
-                self.words.clear()
-            for piece in new:
-                self.seen[piece] = self._new(piece)
-        return b"".join(map(self.seen.__getitem__, pieces)) + self.end
+        found = list(map(self.seen.get, pieces))
+        if None in found:
+            for k, ids in enumerate(found):
+                if ids is None:
+                    piece = pieces[k]
+                    found[k] = self.seen.get(piece)
+                    if found[k] is None:
+                        found[k] = self.seen[piece] = self._new(piece)
+        return b"".join(found) + self.end
 
 
 @cache
