@@ -213,20 +213,147 @@ def near_duplicates(docs: DataFrame, group_rows: int = 2048) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = stage(rows.select("doc_id", F.xxhash64("text").alias("text_hash"), fingerprint_of(F.col("text")).alias("fp")), "fingerprints")
+    return _named(rows, links(rows.select("fp").distinct(), group_rows))
+
+
+def _named(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, text_hash, fp) with the least doc_id of each component of ``edges`` between values of fp."""
     prints = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(links(prints.select("fp"), group_rows))
+    roots = connected_components(edges)
     rooted = prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = rooted.join(named, "root").select("fp", "component_id")
     return rows.join(by_print, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def shingles_of(text: str | None, width: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of ``width`` words; a shorter text is one shingle, no words give none."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(words)
+    n = max(1, len(words) - width + 1)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:n - 1] + 1)).tolist()
+    pieces = [line[a:b] for a, b in zip(starts, ends[min(width, len(words)) - 1:].tolist())]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(SEED)), np.uint64, n))
+
+
+def set_name(shingles: np.ndarray) -> int:
+    """A signed 64-bit name of a set of shingles."""
+    return int(np.array([xxhash.xxh64_intdigest(shingles.tobytes(), SEED)], np.uint64).view(np.int64)[0])
+
+
+def band_keys(shingles: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A MinHash key for each band; ``factors`` and ``offsets`` are bands x rows, factors odd."""
+    least = np.full(factors.size, ~np.uint64(0))
+    for k in range(0, len(shingles), 512):
+        mixed = shingles[k:k + 512] * factors.reshape(-1, 1) + offsets.reshape(-1, 1)
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        np.minimum(least, mixed.min(axis=1), out=least)
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in least.reshape(factors.shape)], np.uint64).view(np.int64)
+
+
+def similar_pairs(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of all pairs of sets with an exact Jaccard index of ``similarity`` or more."""
+    sizes = np.array([len(x) for x in sets])
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    marked = np.zeros(int(codes.max(initial=-1)) + 1, bool)
+    alive, found = np.ones(len(sets), bool), []
+    for start in range(len(sets)):
+        if not alive[start]:
+            continue
+        alive[start] = False
+        queue = [start]
+        while queue and alive.any():
+            at = queue.pop()
+            own = codes[starts[at]:starts[at] + sizes[at]]
+            marked[own] = True
+            left = np.flatnonzero(alive & (np.minimum(sizes, sizes[at]) >= similarity * np.maximum(sizes, sizes[at]) - 1e-9))
+            shared = np.array([np.count_nonzero(marked[codes[starts[k]:starts[k] + sizes[k]]]) for k in left], np.int64)
+            marked[own] = False
+            near = left[shared >= similarity * (sizes[left] + sizes[at] - shared) - 1e-9]
+            alive[near] = False
+            queue += near.tolist()
+            found += zip(repeat(at), near.tolist())
+    return found
+
+
+def similar_documents(
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 40, band_rows: int = 5, piece_rows: int = 256, seed: int = SEED,
+) -> DataFrame:
+    """As ``near_duplicates``, linked by the exact Jaccard index of their sets of ``shingle`` words; fp names the set.
+
+    A fingerprint of 64 bits can't be searched at the reach that 0.8 takes (about 10 bits, up to
+    twice that), so candidates meet in MinHash bands: of pairs at 0.8 these defaults leave out
+    (1 - 0.8**5)**40, about one in eight million, and fewer above. Equal sets are one node. Nodes that
+    bands connect form a pool; a pool that outgrows ``piece_rows`` is cut into pieces by hash, and
+    each pair of pieces is a task of its own, in which all pairs are held against ``similarity``.
+    Texts without words are alike.
+    """
+    rng = np.random.default_rng(seed)
+    factors = rng.integers(0, 1 << 63, (bands, band_rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    offsets = rng.integers(0, 1 << 63, (bands, band_rows), dtype=np.uint64)
+
+    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingles_of(x, shingle) for x in batch]
+            yield pd.DataFrame({"fp": [set_name(x) for x in sets], "keys": [band_keys(x, factors, offsets) for x in sets]})
+
+    signed = F.pandas_udf(sign, "fp long, keys array<long>")(F.col("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), signed.alias("s"))
+    rows = stage(rows.select("doc_id", "text_hash", "s.fp", "s.keys"), "signatures")
+    nodes = rows.groupBy("fp").agg(F.min("text_hash").alias("text_hash"), F.first("keys").alias("keys"))
+    banded = nodes.select("fp", F.posexplode("keys").alias("band", "key"))
+    least = banded.groupBy("band", "key").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    met = banded.join(least, ["band", "key"]).where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+    pools = stage(connected_components(met).select(F.col("node").alias("fp"), F.col("root").alias("pool")), "pools")
+
+    sizes = pools.groupBy("pool").agg(F.ceil(F.count(F.lit(1)) / piece_rows).cast("int").alias("pieces"))
+    one_text = nodes.select("fp", "text_hash").join(pools, "fp").join(sizes, "pool")
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(one_text, "text_hash").dropDuplicates(["fp"])
+
+    def sets_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([shingles_of(x, shingle).tobytes() for x in batch], dtype="object")
+
+    held = stage(texts.select("pool", "pieces", "fp", F.pandas_udf(sets_of, "binary")("text").alias("shingles")), "shingle-sets")
+    held = held.withColumn("p", F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int"))
+    held = held.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    key = ["pool", "i", "j"]
+    held = held.select("pool", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "fp", "shingles")
+    dealt = held.repartition(*key).sortWithinPartitions(*key, "fp")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, names, sets = None, [], []
+
+        def linked() -> pa.RecordBatch:
+            pairs = similar_pairs(sets, similarity)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([names[a] for a, _ in pairs], pa.int64()), pa.array([names[b] for _, b in pairs], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for *group, name, shingles in zip(*[batch[c].to_pylist() for c in (*key, "fp", "shingles")]):
+                if group != now:
+                    if len(names) > 1:
+                        yield linked()
+                    now, names, sets = group, [], []
+                names.append(name)
+                sets.append(np.frombuffer(shingles, np.uint64))
+        if len(names) > 1:
+            yield linked()
+
+    return _named(rows.drop("keys"), dealt.mapInArrow(compare, "a long, b long").distinct())
+
+
+def keep_one(docs: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """``docs`` with one row of each component: the one whose id names it.
 
-    A component without any id keeps one row per fingerprint. Of repeated rows one stays.
+    ``rows`` are the components, those of ``near_duplicates`` unless given. A component without
+    any id keeps one row per fingerprint. Of repeated rows one stays.
     """
-    rows = near_duplicates(docs)
+    rows = near_duplicates(docs) if rows is None else rows
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "fp"))
     keepers = rows.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("_fp")).agg(best.alias("k"))
     keepers = keepers.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import xxhash
 
+import corpus_pipeline as P
 from hearthline.llm import near_duplicates as N
 from hearthline.llm.graph import connected_components
 
@@ -93,3 +94,40 @@ def test_keep_one_and_empty_table(spark, documents):
     kept = N.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2]
     assert N.keep_one(documents([])).count() == 0
+
+
+def jaccard(a, b):
+    a, b = (set(zip(*[x.split()[k:] for k in range(5)])) for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_pipeline_stage_finds_near_copies_from_similarity_0_8(spark, documents):
+    rng = random.Random(9)
+    rows, far = [], []
+    for k in range(40):
+        words = [f"w{rng.randrange(10_000)}" for _ in range(400)]
+        other = words[:]
+        for at in range(7, 400, 400 // (3 + k % 6)):
+            other[at] = f"changed{at}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    for k in range(5):
+        words = rows[2 * k][1].split()
+        words[::30] = ["x"] * len(words[::30])
+        far.append((100 + k, " ".join(words)))
+    similar = [jaccard(rows[k][1], rows[k + 1][1]) for k in range(0, 80, 2)]
+    assert min(similar) < 0.83 and min(similar) >= 0.8 and max(similar) > 0.9
+    assert all(jaccard(x[1], y[1]) < 0.8 for x in far for y in rows)
+    docs = documents([*rows, *far, (0, rows[0][1]), (90, None), (91, " "), (92, "Two Words"), (93, "two  words")])
+    kept = sorted(r.doc_id for r in P.keep_one_of_each(spark, docs, "").collect())
+    assert kept == [*range(0, 80, 2), 90, 92, *range(100, 105)]
+    assert P.keep_one_of_each(spark, documents([]), "").count() == 0
+
+
+def test_pieces_of_a_pool_lose_no_link(spark, documents):
+    rng = random.Random(10)
+    words, rows = [f"w{k}" for k in range(300)], []
+    for k in range(60):  # a drift: neighbours are alike, the ends aren't
+        words[rng.randrange(300)] = f"new{k}"
+        rows.append((k, " ".join(words)))
+    found = N.similar_documents(documents(rows), piece_rows=7).collect()
+    assert {r.component_id for r in found} == {0} and jaccard(rows[0][1], rows[-1][1]) < 0.8
