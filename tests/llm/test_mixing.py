@@ -46,3 +46,25 @@ def test_unreachable_targets_and_small_tables(spark, documents):
     assert M.mix(documents([]), labelled).count() == 0
     alone = M.mix(documents([(1, "x")]), labelled.limit(0)).collect()
     assert {r.doc_id for r in alone} == {1}
+
+
+def cell_totals(cells, rates):
+    rows = cells.withColumn("rate", rates.of(F.col("posterior"))).collect()
+    p, t = np.array([r.posterior for r in rows]) / rates.grid, np.array([r.tokens for r in rows], float)
+    return p.T @ t, p.T @ (t * np.array([r.rate for r in rows])), min(r.rate for r in rows)
+
+
+def test_rare_domains_reach_their_targets(spark):
+    hard = [([50 * (a == k) for a in range(7)], s) for k, s in enumerate((800_000, 100_000, 50_000, 30_000, 10_000, 5_000, 2_000))]
+    mixed = [([47, 1, 1, 1, 0, 0, 0], 9_000), ([0, 0, 0, 0, 0, 40, 10], 900), ([30, 0, 0, 0, 0, 0, 20], 300)]
+    for least, rows in ((0.0, hard), (0.0, hard + mixed), (1.0, hard)):
+        cells = spark.createDataFrame(rows, "posterior array<long>, tokens long")
+        rates = M.fit_rates(cells, 7, 50, M.smoothed_targets, least=least)
+        before, after, lowest = cell_totals(cells, rates)
+        assert np.abs(after / M.smoothed_targets(before) - 1).max() <= 1e-3 and max(rates.missed) <= 1e-3 and lowest >= least
+
+
+def test_targets_out_of_reach_are_reported(spark, caplog):
+    cells = spark.createDataFrame([([25, 25], 1000), ([50, 0], 1000)], "posterior array<long>, tokens long")
+    rates = M.fit_rates(cells, 2, 50, lambda t: np.array([0.0, 1000.0]))
+    assert max(rates.missed) > 1e-3 and "missed" in caplog.text
