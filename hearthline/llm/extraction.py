@@ -24,7 +24,9 @@ from hearthline.llm.common import table
 from hearthline.llm.extraction_samples import SAMPLES
 
 #: Elements whose content is never text of the page.
-SILENT = "script|style|title|noscript|template|svg|textarea|select|button|iframe|canvas|audio|video|object|dialog"
+SILENT = frozenset("script style title noscript template svg textarea select button iframe canvas audio video object dialog".split())
+#: Those of them that run to the end of the page when no end tag follows; of the others only the tag is skipped.
+RAW = frozenset(("script", "style"))
 #: Elements that begin and end a block.
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form "
@@ -49,12 +51,17 @@ READERS = frozenset("comment comments commentlist discussion disqus replies repl
 WITHIN = frozenset("article articlebody content entry main maincontent post story".split())
 
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<silent>{SILENT})\b[^>]*>.*?(?:</(?P=silent)\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*|[^>]*)>|<[!?][^>]*>|<[a-zA-Z/][^>]*\Z",
     re.S | re.I,
 )
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
-HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|\bhidden(?=[\s>/=]|$)|aria-hidden\s*=\s*[\"']?true", re.I)
+ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in SILENT}
+CLOSED = re.compile(r"(?:^|[\s\"'])/$")
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+#: The attribute by its name; what is quoted is taken out before.
+HIDDEN_NAME = re.compile(r"(?:^|[\s\"])hidden(?=[\s/=]|$)", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "place")
@@ -64,7 +71,7 @@ def _place(tag: str, attrs: str, outer: int) -> int:
     """What a container is: 2 the article, 1 unknown, 0 beside the article, -1 and never the article."""
     if outer < 0 or tag in ASIDE:
         return -1
-    if attrs and HIDDEN.search(attrs):
+    if attrs and (HIDDEN.search(attrs) or HIDDEN_NAME.search(QUOTED.sub('""', attrs))):
         return -1
     named = [x for x in NAMES.findall(attrs)] if attrs else []
     words = set()
@@ -96,6 +103,7 @@ def blocks(html: str | None) -> list[tuple[str, int, float, int, int]]:
     linked: list[str] = []
     link = heading = 0
     at = 0
+    unended: set[str] = set()  # silent elements without an end tag in the rest of the page
 
     def flush() -> None:
         nonlocal text, linked
@@ -110,14 +118,24 @@ def blocks(html: str | None) -> list[tuple[str, int, float, int, int]]:
         if link:
             linked.append(piece)
 
-    for token in TOKEN.finditer(page):
+    while token := TOKEN.search(page, at):
         if token.start() > at:
             put(page[at:token.start()])
         at = token.end()
         if token["tag"] is None:
             continue
         tag = token["tag"].lower()
-        if tag == "a":
+        if tag in SILENT:
+            if token["end"] or tag in unended or (tag not in RAW and CLOSED.search(token["attrs"])):
+                continue
+            end = ENDS[tag].search(page, at)
+            if end:
+                at = end.end()
+            elif tag in RAW:
+                at = len(page)
+            else:
+                unended.add(tag)
+        elif tag == "a":
             link = 0 if token["end"] else 1
             if link:
                 linked.append(" ")

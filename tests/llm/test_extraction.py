@@ -37,3 +37,31 @@ def test_table_with_other_columns(spark, tree):
     rows = X.extract(pages, tree).collect()
     assert sorted(r.n_chars for r in rows) == [0, 30, 30] and all(r.n_chars == len(r.text) for r in rows)
     assert X.extract(pages.limit(0), tree).count() == 0
+
+
+TEXT = "Whole article text of the page, long enough to be a paragraph."
+
+
+@pytest.mark.parametrize("before", [
+    '<svg-icon name="x"></svg-icon>', "<button-bar>", "<video-player src='a'></video-player>", '<iframe src="a"/>', "<svg/>",
+    '<iframe src="a" /><iframe src="b">none</iframe>', "<button class=x>", "<svg><title>Logo</title><path d='M0'/></svg>", "<SCRIPT>if (a < b) {}</Script >",
+])
+def test_only_silent_elements_themselves_are_dropped(tree, before):
+    assert X.main_text(f"<article>{before}<p>{TEXT}</p></article>", tree) == TEXT
+
+
+@pytest.mark.parametrize("attrs, kept", [
+    ('class="overflow-hidden p-4"', True), ('data-title="hidden gems of the valley"', True), ("class='a hidden b'", True), ("data-hidden=1", True),
+    ("hidden", False), ('class="a" hidden', False), ('class="a"hidden', False), ('HIDDEN=""', False), ('style="display: none"', False),
+    ('aria-hidden="true"', False),
+])
+def test_hidden_is_an_attribute(tree, attrs, kept):
+    assert X.main_text(f"<article><div {attrs}><p>{TEXT}</p></div></article>", tree) == (TEXT if kept else "")
+
+
+def test_many_unended_tags_take_no_longer_than_the_page(tree):
+    assert X.main_text("<article><p>" + "w <button> " * 50_000 + "</p></article>", tree) == ("w " * 50_000).strip()
+
+
+def test_script_without_end_takes_the_rest(tree):
+    assert X.main_text(f"<article><p>{TEXT}</p><script>var a = '<p>no</p>'", tree) == TEXT
