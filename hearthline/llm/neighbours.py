@@ -103,11 +103,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _rounded(scores: np.ndarray) -> np.ndarray:
+    """Scores to 40 bits, relative to each score's own size."""
+    bits = np.ascontiguousarray(scores, np.float64).view(np.int64)
+    return ((bits + (1 << 11)) & ~np.int64((1 << 12) - 1)).view(np.float64)
+
+
 def best_of(scores: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the ``k`` largest scores of each row; among equals (to 1e-12) the first columns."""
+    """Columns of the ``k`` largest scores of each row; among equals (to 1e-12 of their size) the first columns."""
+    scores = _rounded(scores)
     if scores.shape[1] <= k:
-        return np.argsort(-np.round(scores, 12), axis=1, kind="stable")
-    scores = np.round(scores, 12)
+        return np.argsort(-scores, axis=1, kind="stable")
     least = -np.partition(-scores, k - 1, axis=1)[:, k - 1:k]
     found = np.argpartition(-scores, k - 1, axis=1)[:, :k]
     for row in np.flatnonzero((scores >= least).sum(axis=1) > k):

@@ -45,3 +45,14 @@ def test_ties_repeats_and_unusable_vectors(spark):
     few = N.search(df.where("vec_id in (20, 60, 41)"), F.lit(True), k=20).orderBy("query_id").collect()
     assert [(r.query_id, r.vec_id) for r in few] == [(20, 60), (60, 20)]
     assert N.search(df.limit(0), F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("size", [1e-9, 1e-6, 1.0, 1e6])
+def test_best_of_short_and_long_vectors(size):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 16)) * size
+    scores = x[:5] @ x.T
+    assert (np.sort(N.best_of(scores, 20), axis=1) == np.sort(np.argsort(-scores, axis=1)[:, :20], axis=1)).all()
+    scores[:, ::2] = -np.inf
+    scores[:, 1::2] = size ** 2 * (1 + 1e-15 * rng.random((5, 150)))
+    assert (np.sort(N.best_of(scores, 20), axis=1) == np.arange(1, 40, 2)).all()
