@@ -1,5 +1,5 @@
 import pytest
-from conftest import by_hour, hour_row, hourly, zone
+from heat_rows import by_hour, hour_row, hourly, zone
 
 from hearthline.operators import clean
 

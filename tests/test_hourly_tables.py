@@ -1,6 +1,6 @@
 from datetime import datetime, timedelta
 
-from conftest import T0, by_hour, hour_row, hourly, zone
+from heat_rows import T0, by_hour, hour_row, hourly, zone
 from pyspark.sql import functions as F
 
 from hearthline.operators import columns, merge

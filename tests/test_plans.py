@@ -2,7 +2,7 @@
 
 from datetime import timedelta
 
-from conftest import hour_row, hourly
+from heat_rows import hour_row, hourly
 
 from hearthline.operators import sensors, telemetry
 from hearthline.plans import pipeline

@@ -1,7 +1,7 @@
 import random
 from datetime import timedelta
 
-from conftest import T0, hour_row, hourly, zone
+from heat_rows import T0, hour_row, hourly, zone
 
 from hearthline.plans.run import run
 
