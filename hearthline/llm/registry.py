@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthline.llm import decontamination, extraction, line_templates, mixing, near_duplicates, neighbours, quality, repeated_passages, sharding, token_store
+from hearthline.llm import (
+    decontamination, extraction, filter_audit, line_templates, mixing, near_duplicates, neighbours, quality, repeated_passages, sharding, token_store,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": mixing.query,
+    "op13_filter_audit": filter_audit.query,
     "op1_near_duplicates": near_duplicates.query,
     "op2_sharding": sharding.query,
     "op3_extraction": extraction.query,
@@ -22,5 +25,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op13_filter_audit": filter_audit.ORACLE,
     "op7_line_templates": line_templates.ORACLE,
 }
