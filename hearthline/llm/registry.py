@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hearthline.llm import (
-    decontamination, extraction, filter_audit, line_templates, mixing, near_duplicates, neighbours, quality, repeated_passages, sharding, token_store, whitening,
+    decontamination, extraction, filter_audit, language, line_templates, mixing, near_duplicates, neighbours, quality, repeated_passages, sharding, token_store, whitening,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": mixing.query,
     "op11_whitening": whitening.query,
+    "op12_language": language.query,
     "op13_filter_audit": filter_audit.query,
     "op1_near_duplicates": near_duplicates.query,
     "op2_sharding": sharding.query,
