@@ -32,7 +32,7 @@ from hearthline.llm.common import drop_staged, stage, table
 ORDER = 4
 PIECE = 1 << 20  # bytes counted or coded at a time
 HELD = 1_000_000  # nodes a counting task holds before it passes them on
-NODES = 1_000_000  # nodes of all trees that scoring carries, about 16 bytes each
+NODES = 400_000  # nodes of all trees that scoring carries, 16 bytes each
 LANGUAGES = 512  # trees at most: those of most training bytes
 UNKNOWN = "und"
 
@@ -140,23 +140,25 @@ def count_nodes(rows: DataFrame, order: int = ORDER) -> DataFrame:
     return nodes
 
 
-def frequent(nodes: DataFrame, max_nodes: int, max_languages: int) -> DataFrame:
-    """At most ``max_nodes`` of staged ``nodes``: of each language those above one count.
+def frequent(nodes: DataFrame, max_nodes: int, max_languages: int) -> tuple[DataFrame, tuple[str, ...]]:
+    """At most ``max_nodes`` of staged ``nodes``, of each language those above one count; and the languages, sorted.
+
+    The nodes name their language by its place.
 
     The count is the least, in steps of an eighth of a doubling, that leaves a language its share
     of ``max_nodes``. Of more than ``max_languages`` languages those of most bytes stay.
     """
     spoken = nodes.where("depth = 0").groupBy("lang").agg(F.sum("n").alias("bytes")).orderBy(F.desc("bytes"), "lang").limit(max_languages)
-    chosen = [(r.lang,) for r in spoken.select("lang").collect()]  # at most max_languages
+    chosen = sorted(r.lang for r in spoken.collect())  # at most max_languages
     share = max_nodes // max(1, len(chosen))
     step = F.floor(F.log2("n") * 8).cast("int")
     sizes = nodes.groupBy("lang", step.alias("step")).agg(F.count(F.lit(1)).alias("size"))
     # A language has at most 8 x 63 steps.
     above = F.sum("size").over(W.partitionBy("lang").orderBy(F.desc("step")))
     least = sizes.select("lang", "step", above.alias("above")).where(F.col("above") <= share).groupBy("lang").agg(F.min("step").alias("least"))
-    known = nodes.sparkSession.createDataFrame(chosen, "lang string")
-    wanted = least.join(known, "lang", "left_semi")
-    return nodes.withColumn("step", step).join(wanted, "lang").where("step >= least").drop("step", "least")
+    known = nodes.sparkSession.createDataFrame(list(enumerate(chosen)), "place int, lang string")
+    wanted = nodes.withColumn("step", step).join(least.join(known, "lang"), "lang").where("step >= least")
+    return wanted.select(F.col("place").alias("lang"), "depth", "node", "n"), tuple(chosen)
 
 
 # --- frozen trees ----------------------------------------------------------------------------
@@ -273,19 +275,14 @@ def fit(rows: DataFrame, order: int = ORDER, max_nodes: int = NODES, max_languag
         raise ValueError("order 0 to 6")
     usable = rows.select(F.col("lang").cast("string").alias("lang"), "text").where("lang IS NOT NULL AND text IS NOT NULL")
     nodes = count_nodes(usable, order)
-    held = frequent(nodes, max_nodes, max_languages).toPandas()  # at most max_nodes rows
+    held, names = frequent(nodes, max_nodes, max_languages)
+    found = held.select("lang", "depth", "node", "n").toArrow()  # at most max_nodes rows of numbers
     drop_staged(nodes)
-    names = tuple(sorted(held["lang"].unique()))
-    packed = []
-    for name in names:
-        own = held[held["lang"] == name]
-        levels = []
-        for k in range(order + 1):
-            level = own[own["depth"] == k]
-            node, n = level["node"].to_numpy(np.uint64), level["n"].to_numpy(np.int64)
-            place = np.argsort(node)
-            levels.append((node[place], n[place]))
-        packed.append(levels)
+    lang, depth, node, n = (found.column(k).to_numpy() for k in range(4))
+    place = np.lexsort((node, depth, lang))
+    lang, depth, node, n = lang[place], depth[place], node[place].astype(np.uint64), n[place]
+    cuts = np.searchsorted(lang.astype(np.int64) * 8 + depth, np.arange(len(names) * 8 + 1))
+    packed = [[(node[cuts[8 * k + d]:cuts[8 * k + d + 1]], n[cuts[8 * k + d]:cuts[8 * k + d + 1]]) for d in range(order + 1)] for k in range(len(names))]
     return Languages(names, order, tuple(packed), uuid.uuid4().hex)
 
 
