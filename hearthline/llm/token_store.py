@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import scratch, table
+from hearthline.llm.common import drop_staged, scratch, stage, table
 
 BLOCK_BYTES = 256 * 1024
 CACHED_PIECES = 800_000
@@ -230,10 +230,12 @@ def write_store(
         if rows:
             yield close()
 
-    encoded = docs.mapInArrow(encode_all, ENCODED)
+    # Staged, as sampling for the ranges would otherwise encode every text a second time.
+    encoded = stage(docs.mapInArrow(encode_all, ENCODED), "frames")
     order = ["doc_id", "ids_crc32", "n_tokens"]
     ranged = encoded.repartitionByRange(*order).sortWithinPartitions(*order)
     ranged.mapInArrow(pack, BLOCKS).write.parquet(f"{path}/blocks")
+    drop_staged(encoded)
     spark.createDataFrame([(digest, bytearray(content))], "sha256 string, content binary").coalesce(1).write.parquet(f"{path}/dictionary")
     return path
 
