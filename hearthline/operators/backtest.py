@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hearthline.config import MODEL_FEATURES, HeatConfig
 from hearthline.functions.clock import is_weekend
 from hearthline.operators.features import delta_t, occupancy_index
-from hearthline.operators.regression import error_metrics, moment_columns, usable_fits
+from hearthline.operators.regression import moment_columns, usable_fits, with_gains
 
 
 def refit_schedule(days: DataFrame, lookbacks: Column, cfg: HeatConfig) -> DataFrame:
@@ -52,33 +52,51 @@ def trailing_days_window(moments: DataFrame, n: int, cfg: HeatConfig) -> DataFra
     )
 
 
-def nested_windows(moments: DataFrame, max_n: int, cfg: HeatConfig) -> DataFrame:
-    """Moments of every look-back 1..``max_n`` for every possible fit day.
+EXACT = "decimal(38,16)"
 
-    Windows that end on the same day are nested, so one running sum backwards from that
-    day yields all look-backs: days x ``max_n`` rows per house instead of a separate sum for
-    each look-back.
+
+def prefix_moments(moments: DataFrame, cfg: HeatConfig) -> DataFrame:
+    """Running sums of a house's daily moments: one row per day with data, whatever the look-backs.
+
+    The sums are decimals, so a difference of two of them has lost nothing, however long the
+    history is. ``index`` counts the days from 1, ``following`` is the day after in that count,
+    ``unknown`` counts moments that no such decimal holds.
     """
     in_time = Window.partitionBy("house_alias").orderBy("day")
-    numbered = moments.withColumns({
-        "index": F.row_number().over(in_time),
-        "n_all": F.count("*").over(Window.partitionBy("house_alias")).cast("int"),
-    })
-    spread = numbered.withColumn(
-        "fit_index",
-        F.explode(F.sequence("index", F.least(F.col("index") + max_n - 1, F.col("n_all")))),
-    )
-    backwards = (
-        Window.partitionBy("house_alias", "fit_index")
-        .orderBy(F.col("index").desc())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = in_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    names = moment_columns(cfg)
+    exact = {c: F.col(c).try_cast(EXACT) for c in names}
+    unknown = sum((F.col(c).isNotNull() & exact[c].isNull()).cast("int") for c in names)
+    return moments.select(
+        "house_alias", "day", unknown.alias("unknown"), *[e.alias(c) for c, e in exact.items()]
+    ).select(
+        "house_alias", "day",
+        F.row_number().over(in_time).alias("index"),
+        F.min("day").over(so_far).alias("first"),
+        F.lead("day").over(in_time).alias("following"),
+        F.sum("unknown").over(so_far).alias("unknown"),
+        *[F.sum(c).over(so_far).alias(c) for c in names],
     )
-    return spread.select(
-        "house_alias",
-        (F.col("fit_index") - F.col("index") + 1).alias("n"),
-        F.max("day").over(backwards).alias("fit_day"),
-        F.col("day").alias("first_day"),
-        *[F.sum(c).over(backwards).alias(c) for c in moment_columns(cfg)],
+
+
+def windows_of(schedule: DataFrame, prefix: DataFrame, cfg: HeatConfig) -> DataFrame:
+    """Moments of the window of every scheduled fit: the running sum of its last day less that before its first.
+
+    A window with fewer than ``n`` days before it (while it grows) begins with the first day. Where
+    a moment is unknown all of them are null, which leaves the window to its rows.
+    """
+    names = moment_columns(cfg)
+    upto = prefix.withColumnRenamed("day", "fit_day").drop("following")
+    before = prefix.select(
+        "house_alias", F.col("index").alias("start"), "following", F.col("unknown").alias("unknown_before"),
+        *[F.col(c).alias(f"before__{c}") for c in names])
+    ends = schedule.join(upto, ["house_alias", "fit_day"]).withColumn("start", F.greatest(F.col("index") - F.col("n"), F.lit(0)))
+    met = ends.join(before, ["house_alias", "start"], "left")
+    known = F.col("unknown") == F.coalesce("unknown_before", F.lit(0))
+    return met.select(
+        "house_alias", "n", "fit_day",
+        F.coalesce("following", "first").alias("first_day"),
+        *[F.when(known, F.col(c) - F.coalesce(f"before__{c}", F.lit(0).cast(EXACT))).cast("double").alias(c) for c in names],
     )
 
 
@@ -194,11 +212,21 @@ def recursive_forecast(origins: DataFrame, cfg: HeatConfig) -> DataFrame:
     return origins.withColumn("forecast", path)
 
 
-def forecast_points(origins: DataFrame, fits: DataFrame, cfg: HeatConfig) -> DataFrame:
+def forecasts(origins: DataFrame, fits: DataFrame, cfg: HeatConfig) -> DataFrame:
+    """One row per look-back and origin: its targets, both forecasts and their errors, as arrays by step."""
+    out = baseline_forecast(recursive_forecast(asof_fit(origins, fits), cfg), cfg)
+
+    def error(forecast: str) -> Column:
+        return F.zip_with(forecast, "targets", lambda f, t: f - t["dist_kwh"] * F.col("energy_ratio"))
+
+    kept = ["house_alias", "n", "origin", "energy_ratio", "targets", "forecast", "forecast_baseline"]
+    return out.select(*kept, error("forecast").alias("error"), error("forecast_baseline").alias("error_baseline"))
+
+
+def forecast_points(forecasts: DataFrame) -> DataFrame:
     """One row per look-back, origin and lead with both predictions and the actual load."""
-    forecast = baseline_forecast(recursive_forecast(asof_fit(origins, fits), cfg), cfg)
     step = F.posexplode(F.arrays_zip("targets", "forecast", "forecast_baseline")).alias("step", "at")
-    return forecast.select("house_alias", "n", "origin", "energy_ratio", step).select(
+    return forecasts.select("house_alias", "n", "origin", "energy_ratio", step).select(
         "house_alias",
         "n",
         "origin",
@@ -211,30 +239,62 @@ def forecast_points(origins: DataFrame, fits: DataFrame, cfg: HeatConfig) -> Dat
     )
 
 
-def oos_metrics(points: DataFrame) -> DataFrame:
-    """Overall errors of the backtest per house and look-back."""
-    return error_metrics(points, ["house_alias", "n"])
+def oos_metrics(forecasts: DataFrame) -> DataFrame:
+    """Overall errors of the backtest per house and look-back; a row per origin reaches the aggregate."""
+    def totals(errors: str) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("off"), F.lit(0.0).alias("square"))
+        return F.aggregate(errors, start, lambda t, e: F.struct(
+            (t["n"] + e.isNotNull().cast("long")).alias("n"),
+            (t["off"] + F.coalesce(F.abs(e), F.lit(0.0))).alias("off"),
+            (t["square"] + F.coalesce(e * e, F.lit(0.0))).alias("square"),
+        ))
+
+    rows = forecasts.select(
+        "house_alias", "n", F.size("error").cast("long").alias("points"), totals("error").alias("m"), totals("error_baseline").alias("b"))
+    sums = rows.groupBy("house_alias", "n").agg(
+        F.sum("points").alias("n_points"),
+        *[F.sum(f"{x}.{f}").alias(f"{x}_{f}") for x in ("m", "b") for f in ("n", "off", "square")],
+    )
+    mean = lambda x, f: F.when(F.col(f"{x}_n") > 0, F.col(f"{x}_{f}") / F.col(f"{x}_n"))
+    return with_gains(sums.select(
+        "house_alias", "n", "n_points", mean("m", "off").alias("mae"), F.sqrt(mean("m", "square")).alias("rmse"),
+        mean("b", "off").alias("mae_baseline"), F.sqrt(mean("b", "square")).alias("rmse_baseline"),
+    ))
+
 
+def rmse_by_lead(forecasts: DataFrame, cfg: HeatConfig) -> DataFrame:
+    """Errors by lead: arrays are averaged entry by entry, and spread over leads when only the means are left."""
+    def mean_square(errors: str, step: int) -> Column:
+        e = F.get(errors, F.lit(step))
+        return F.avg(e * e)
 
-def rmse_by_lead(points: DataFrame) -> DataFrame:
-    return error_metrics(points, ["house_alias", "n", "lead"]).select(
-        "house_alias", "n", "lead", "n_points", "rmse", "rmse_baseline"
+    steps = range(cfg.horizon_hours)
+    means = forecasts.groupBy("house_alias", "n").agg(
+        F.count(F.lit(1)).alias("n_points"),
+        *[mean_square(c, i).alias(f"{c}_{i}") for c in ("error", "error_baseline") for i in steps],
     )
+    leads = F.array(*[
+        F.struct(F.lit(i + 1).alias("lead"), F.sqrt(f"error_{i}").alias("rmse"), F.sqrt(f"error_baseline_{i}").alias("rmse_baseline"))
+        for i in steps
+    ])
+    spread = means.select("house_alias", "n", "n_points", F.explode(leads).alias("at"))
+    return spread.select("house_alias", "n", "at.lead", "n_points", "at.rmse", "at.rmse_baseline")
 
 
-def hourly_residual_ci(points: DataFrame) -> DataFrame:
+def hourly_residual_ci(forecasts: DataFrame) -> DataFrame:
     """Mean first-step error by hour of day, weekdays and weekends apart, with 95 % bounds.
 
     All 24 hours appear for both kinds of day; an hour never scored has no mean and a zero
     bound, as has an hour scored once.
     """
-    first = points.where(F.col("lead") == 1)
+    first = forecasts.select(
+        "house_alias", "n", F.get("targets", F.lit(0))["hour_start"].alias("hour_start"), F.get("error", F.lit(0)).alias("residual"))
     scored = first.groupBy(
         "house_alias", "n", is_weekend(F.col("hour_start")).alias("weekend"), F.hour("hour_start").alias("hour")
     ).agg(
         F.count("*").alias("n_points"),
-        F.avg(F.col("predicted") - F.col("actual")).alias("mean_residual"),
-        F.stddev_samp(F.col("predicted") - F.col("actual")).alias("sd"),
+        F.avg("residual").alias("mean_residual"),
+        F.stddev_samp("residual").alias("sd"),
     )
     per_house = scored.groupBy("house_alias", "n").agg(
         F.map_from_entries(

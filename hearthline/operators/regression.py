@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from hearthline.config import BASELINE_FEATURES, HeatConfig
 from hearthline.functions.numbers import null_if_nan, settle
+from hearthline.session import stage
 
 # features measured in load units follow the energy ratio, as the target does
 _SCALED = {
@@ -174,12 +175,9 @@ def _refit_on_rows(
     """
     models = {"fit": cfg.feature_names, "baseline_fit": BASELINE_FEATURES}
     raw = list(dict.fromkeys(c for names in models.values() for c in raw_columns(names)))
-    days = features.select("house_alias", "day").distinct()
     spans = windows.select(*keys, "energy_ratio", "first_day", F.col("fit_day").alias("last_day"))
-    covered = spans.join(days, "house_alias").where(F.col("day").between(F.col("first_day"), F.col("last_day")))
-    rows = covered.select(*keys, "energy_ratio", "day").join(
-        features.select("house_alias", "day", TARGET, *raw), ["house_alias", "day"]
-    )
+    days = spans.withColumn("day", F.explode(F.sequence("first_day", "last_day"))).drop("first_day", "last_day")
+    rows = days.join(features.select("house_alias", "day", TARGET, *raw), ["house_alias", "day"])
     key_types = [f"{f.name} {f.dataType.simpleString()}" for f in spans.select(*keys).schema]
     out_types = [
         f"{m}_{part}" for m in models
@@ -225,29 +223,32 @@ def solve_windows(
 
     ``windows`` has one row per ``keys`` with summed moments, ``first_day`` and ``fit_day``.
     Windows that are singular or nearly so are fitted again on their rows when ``features``
-    is given. Coefficients and errors are rounded to six decimals, R squared and energy ratio
+    is given; the solved windows are then staged, so that this branch is planned only if there
+    are any. Coefficients and errors are rounded to six decimals, R squared and energy ratio
     to three; predictions use the rounded numbers.
     """
     total_load = F.col(_moment("one", TARGET))
     ratio = F.when(total_load != 0, F.col("sum__hp") / total_load)
+    models = {"fit": cfg.feature_names, "baseline_fit": BASELINE_FEATURES}
     fitted = windows.withColumn("energy_ratio", ratio)
-    for prefix, names in (("", cfg.feature_names), ("baseline_", BASELINE_FEATURES)):
+    for out, names in models.items():
         upper = F.array(*[_moment(a, b) for a, b in _pairs(names)])
-        solve = _solver(names, cfg)
-        fitted = fitted.withColumn(f"{prefix}fit", solve(upper, F.col("energy_ratio")))
+        fitted = fitted.withColumn(out, _solver(names, cfg)(upper, F.col("energy_ratio")))
     fitted = fitted.select(
         *[c for c in windows.columns if not c.startswith("sum__")],
         F.col(_moment("one", "one")).cast("bigint").alias("n_hours"),
         "energy_ratio", "fit", "baseline_fit",
     )
     if features is not None:
+        fitted = stage(fitted, "solved")  # a row per window, read by two consumers
         unsettled = fitted.where(~(F.col("fit.well_posed") & F.col("baseline_fit.well_posed")))
-        again = _refit_on_rows(unsettled, features, keys, cfg)
-        pick = lambda m: F.when(F.col(f"{m}.well_posed"), F.col(m)).otherwise(
-            F.coalesce(f"{m}_again", m)
-        )
-        fitted = fitted.join(again, keys, "left").withColumns({m: pick(m) for m in ("fit", "baseline_fit")})
-        fitted = fitted.drop("fit_again", "baseline_fit_again")
+        if not unsettled.isEmpty():
+            again = _refit_on_rows(unsettled, features, keys, cfg)
+            pick = lambda m: F.when(F.col(f"{m}.well_posed"), F.col(m)).otherwise(
+                F.coalesce(f"{m}_again", m)
+            )
+            fitted = fitted.join(again, keys, "left").withColumns({m: pick(m) for m in models})
+            fitted = fitted.drop("fit_again", "baseline_fit_again")
     return fitted.select(
         *[c for c in fitted.columns if c not in ("fit", "baseline_fit", "energy_ratio")],
         settle(F.col("energy_ratio"), 3).alias("energy_ratio"),
@@ -315,10 +316,15 @@ def error_metrics(points: DataFrame, keys: list[str]) -> DataFrame:
         F.avg(F.abs(base)).alias("mae_baseline"),
         F.sqrt(F.avg(base * base)).alias("rmse_baseline"),
     )
+    return with_gains(out)
+
+
+def with_gains(errors: DataFrame) -> DataFrame:
+    """How much better the model is than the baseline, in percent of the baseline's error."""
     gain = lambda m: F.when(
         F.col(f"{m}_baseline") != 0, (F.col(f"{m}_baseline") - F.col(m)) / F.col(f"{m}_baseline") * 100
     )
-    return out.withColumns({"mae_gain_pct": gain("mae"), "rmse_gain_pct": gain("rmse")})
+    return errors.withColumns({"mae_gain_pct": gain("mae"), "rmse_gain_pct": gain("rmse")})
 
 
 def in_sample_metrics(features: DataFrame, params: DataFrame, cfg: HeatConfig) -> DataFrame:

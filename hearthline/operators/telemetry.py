@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthline.config import FLOW_UNIT, KG_PER_US_GALLON, WATER_TEMP_UNIT, HeatConfig
-from hearthline.functions.clock import local_hour, local_time
+from hearthline.functions.clock import hour_of, local_hour, local_time
 from hearthline.functions.numbers import celsius_to_f, settle, thermal_power_kw
 
 # output column -> (channel, unit, scale)
@@ -39,17 +39,19 @@ def pivot_channels_per_second(readings_1s: DataFrame) -> DataFrame:
     )
 
 
-def flow_segments(per_second: DataFrame, start: datetime, cfg: HeatConfig) -> DataFrame:
-    """Mark the seconds in which distribution water has been flowing long enough.
+def _batch(local: Column, since: Column, cfg: HeatConfig) -> Column:
+    """Number of the batch of whole local days after ``since`` (UTC) that a local time is in."""
+    first = local_time(since, cfg.timezone)
+    return F.floor(F.timestamp_diff("SECOND", first, local) / (cfg.batch_days * 86400))
 
-    A segment is a run of consecutive seconds with positive flow. Its start is carried
-    forward inside a (house, batch) window, which holds at most ``batch_days`` times
-    86,400 rows however large the fleet or the period is. A run restarts at a batch edge.
-    Edges are whole local days after ``start``, so a clock change doesn't move them.
-    """
-    first, now = (local_time(x, cfg.timezone) for x in (F.lit(start).cast("timestamp_ntz"), F.col("ts")))
-    batch = F.floor(F.timestamp_diff("SECOND", first, now) / (cfg.batch_days * 86400))
-    in_time = Window.partitionBy("house_alias", "batch").orderBy("ts")
+
+def _as_column(instant: datetime | Column) -> Column:
+    return instant if isinstance(instant, Column) else F.lit(instant).cast("timestamp_ntz")
+
+
+def _with_segments(per_second: DataFrame, keys: list[str], cfg: HeatConfig) -> DataFrame:
+    """Start of the flow run of each second and whether it has lasted long enough, within ``keys``."""
+    in_time = Window.partitionBy(*keys).orderBy("ts")
     flowing = F.col("dist_flow_gpm") > 0
     second = F.expr("interval 1 second")
     previous = F.lag(F.when(flowing, F.col("ts"))).over(in_time)
@@ -57,8 +59,7 @@ def flow_segments(per_second: DataFrame, start: datetime, cfg: HeatConfig) -> Da
     so_far = in_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     onset = F.expr(f"interval {int(cfg.flow_onset_seconds)} seconds")
     return (
-        per_second.withColumn("batch", batch)
-        .withColumn("segment_starts", starts)
+        per_second.withColumn("segment_starts", starts)
         .withColumn(
             "segment_start",
             F.last(F.when(F.col("segment_starts"), F.col("ts")), ignorenulls=True).over(so_far),
@@ -72,6 +73,49 @@ def flow_segments(per_second: DataFrame, start: datetime, cfg: HeatConfig) -> Da
     )
 
 
+def flow_segments(per_second: DataFrame, start: datetime, cfg: HeatConfig) -> DataFrame:
+    """Mark the seconds in which distribution water has been flowing long enough.
+
+    A segment is a run of consecutive seconds with positive flow. Its start is carried
+    forward inside a (house, batch) window, which holds at most ``batch_days`` times
+    86,400 rows however large the fleet or the period is. A run restarts at a batch edge.
+    Edges are whole local days after ``start``, so a clock change doesn't move them.
+    """
+    batch = _batch(local_time(F.col("ts"), cfg.timezone), _as_column(start), cfg)
+    return _with_segments(per_second.withColumn("batch", batch), ["house_alias", "batch"], cfg)
+
+
+def hour_slots(readings_1s: DataFrame, since: datetime | Column, cfg: HeatConfig) -> DataFrame:
+    """Readings dealt to the local hour in which they are needed: house_alias, slot, own, ts, place, value.
+
+    An hour needs its own seconds and, to know how long water has been flowing at its start, the
+    flow of the onset time before it: those few readings are dealt twice, the copy not ``own``.
+    Nothing is dealt across a batch edge, where runs restart. ``place`` numbers the channel, null
+    for a reading in another unit, which still makes its second known.
+    """
+    onset = int(cfg.flow_onset_seconds)
+    if onset > 3600:
+        raise ValueError("the onset can't be longer than an hour")
+    place = F.lit(None).cast("byte")
+    for k, (channel, unit, _) in enumerate(SECOND_CHANNELS.values()):
+        place = F.when((F.col("channel_name") == channel) & (F.col("unit") == unit), F.lit(k).cast("byte")).otherwise(place)
+    local = local_time(F.col("ts"), cfg.timezone)
+    timed = readings_1s.select(
+        "house_alias", "ts", "value", place.alias("place"), local.alias("local"), _as_column(since).alias("since")
+    )
+    hour = hour_of(F.col("local"))
+    late = F.minute("local") * 60 + F.second("local") >= 3600 - onset
+    following = local_hour(F.col("ts") + F.expr(f"interval {onset} seconds"), cfg.timezone)
+    flow = list(SECOND_CHANNELS).index("dist_flow_gpm")
+    edge = _batch(hour, F.col("since"), cfg) != _batch(following, F.col("since"), cfg)
+    passed_on = (F.col("place") == flow) & late & (following != hour) & ~edge
+    own = F.struct(hour.alias("slot"), F.lit(True).alias("own"))
+    slots = F.when(passed_on, F.array(own, F.struct(following.alias("slot"), F.lit(False).alias("own")))).otherwise(F.array(own))
+    return timed.select("house_alias", F.explode(slots).alias("s"), "ts", "place", "value").select(
+        "house_alias", "s.slot", "s.own", "ts", "place", "value"
+    )
+
+
 def _hp_kw() -> Column:
     return thermal_power_kw(F.col("primary_flow_gpm"), F.col("hp_lwt_c"), F.col("hp_ewt_c"))
 
@@ -112,7 +156,7 @@ def hourly_energy(per_second: DataFrame, cfg: HeatConfig) -> DataFrame:
 
 
 def hourly_water_kg(per_second: DataFrame, cfg: HeatConfig) -> DataFrame:
-    """Litres pumped; hours in which no flow reading exists are left out of the sum."""
+    """Kilograms pumped; hours in which no flow reading exists are left out of the sum."""
     return _by_hour(per_second, cfg).agg(_water_column())
 
 
@@ -121,13 +165,23 @@ def hourly_flow_temps(segments: DataFrame, cfg: HeatConfig) -> DataFrame:
     return _by_hour(segments.where("eligible"), cfg).agg(*_flow_temperature_columns())
 
 
-def hourly_from_seconds(readings_1s: DataFrame, start: datetime, cfg: HeatConfig) -> DataFrame:
-    """All three hourly results from a single pass over the telemetry.
+def hourly_from_seconds(readings_1s: DataFrame, since: datetime | Column, cfg: HeatConfig) -> DataFrame:
+    """All three hourly results from a single pass over the telemetry, with one exchange.
 
-    One scan, one pivot shuffle, one window shuffle of already pivoted seconds, and a
-    partially aggregated shuffle of hours.
+    Readings are dealt to (house, local hour) before anything is grouped. The pivot of seconds,
+    the window that finds flow runs and the hourly aggregate all keep within such an hour, so they
+    share that distribution. ``since`` is the instant (UTC) from which batches count; a column
+    where it differs by row.
     """
-    segments = flow_segments(pivot_channels_per_second(readings_1s), start, cfg)
-    return _by_hour(segments, cfg).agg(
-        *_energy_columns(), _water_column(), *_flow_temperature_columns()
+    keys = ["house_alias", "slot"]
+    dealt = hour_slots(readings_1s, since, cfg).repartition(*keys)
+    seconds = dealt.groupBy(*keys, "ts").agg(
+        F.bool_or("own").alias("own"),
+        *[
+            (F.avg(F.when(F.col("place") == k, F.col("value"))) / scale).alias(name)
+            for k, (name, (_, _, scale)) in enumerate(SECOND_CHANNELS.items())
+        ],
     )
+    segments = _with_segments(seconds, keys, cfg).where("own")
+    hours = segments.groupBy(*keys).agg(*_energy_columns(), _water_column(), *_flow_temperature_columns())
+    return hours.withColumnRenamed("slot", "hour_start")

@@ -6,7 +6,7 @@ from datetime import datetime
 from typing import NamedTuple
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.config import HeatConfig
@@ -32,24 +32,31 @@ def build_hourly(
     end: datetime,
     cfg: HeatConfig,
     substring: bool = False,
+    aliases: DataFrame | None = None,
 ) -> DataFrame:
     """Raw telemetry, sensors and forecasts to one hourly row per house.
 
     ``start`` and ``end`` are naive local times; every hour between them gets a row. Each
     input is scanned once, and everything meets in one shuffle of hourly rows. Only rows of
-    ``houses`` are taken; they are told apart before any shuffle. With ``substring`` a house
-    also owns stored aliases that contain its name.
+    ``houses`` are taken; tables of a store are read for their buckets and days alone. With
+    ``substring`` a house also owns stored aliases that contain its name, found in ``aliases``
+    if given.
     """
-    houses = houses.select(readers.house_key(F.col("house_alias")).alias("house_alias")).distinct()
+    houses = readers.requested(houses)
     since, until = utc(start, cfg.timezone), utc(end, cfg.timezone)
-    seconds = readers.scan_readings_1s(readings_1s, since, until, telemetry.CHANNELS_READ)
-    named = readers.scan_readings_with_channels(readings, channels, since, until)
-    parsed = readers.scan_forecast_messages(messages, since, until, cfg)
-    seconds, named, parsed = (readers.rows_of(x, houses, substring) for x in (seconds, named, parsed))
+    seconds = readers.scan_readings_1s(readings_1s, since, until, telemetry.CHANNELS_READ, houses, substring, aliases)
+    named = readers.scan_readings_with_channels(readings, channels, since, until, houses, substring, aliases)
+    parsed = readers.scan_forecast_messages(messages, since, until, cfg, houses, substring, aliases)
+    return assemble(merge.expected_hours(houses, start, end), seconds, named, parsed, since, cfg)
 
+
+def assemble(
+    skeleton: DataFrame, seconds: DataFrame, named: DataFrame, parsed: DataFrame, since: datetime | Column, cfg: HeatConfig
+) -> DataFrame:
+    """Hourly rows of scanned telemetry. ``since`` is where flow batches count from, a column if it differs by row."""
     wanted = F.lit(True).alias("wanted")
     slots = merge.merge_hours(
-        merge.expected_hours(houses, start, end).select("*", wanted),
+        skeleton.select("*", wanted),
         telemetry.hourly_from_seconds(seconds, since, cfg).select("*", wanted),
         sensors.sensor_hourly(named, cfg).select("*", wanted),
         forecast.latest_per_slot(forecast.dedupe_forecasts(parsed, cfg)),
@@ -103,21 +110,29 @@ class Backtest(NamedTuple):
     residuals: DataFrame
 
 
-def backtest_fits(features: DataFrame, n: int, cfg: HeatConfig) -> DataFrame:
-    """Main and baseline fits on the refit days of one look-back."""
+def fits_of(features: DataFrame, lookbacks: Column, cfg: HeatConfig) -> DataFrame:
+    """Main and baseline fits of each look-back on its refit days.
+
+    Daily moments are summed up once; a window of any length is a difference of two sums.
+    """
     moments = regression.ols_moments(features, cfg)
-    schedule = B.refit_schedule(moments.select("house_alias", "day"), F.lit(n), cfg)
-    windows = B.trailing_days_window(moments, n, cfg).join(
-        schedule, ["house_alias", "n", "fit_day"], "left_semi"
-    )
+    schedule = B.refit_schedule(moments.select("house_alias", "day"), lookbacks, cfg)
+    # a row per house and day, read from both ends of a window; then a row per fit
+    prefix = stage(B.prefix_moments(moments, cfg), "prefix")
+    windows = stage(B.windows_of(schedule, prefix, cfg), "windows")
     return regression.solve_windows(windows, features, ["house_alias", "n", "fit_day"], cfg)
 
 
+def backtest_fits(features: DataFrame, n: int, cfg: HeatConfig) -> DataFrame:
+    """Fits of one look-back."""
+    return fits_of(features, F.lit(n), cfg)
+
+
 def score(features: DataFrame, fits: DataFrame, cfg: HeatConfig) -> Backtest:
     """Forecast from every hour with the fits in force and measure the errors."""
-    points = B.forecast_points(B.origin_lead_join(features, cfg), fits, cfg)
+    forecasts = B.forecasts(B.origin_lead_join(features, cfg), fits, cfg)
     return Backtest(
-        fits, points, B.oos_metrics(points), B.rmse_by_lead(points), B.hourly_residual_ci(points)
+        fits, B.forecast_points(forecasts), B.oos_metrics(forecasts), B.rmse_by_lead(forecasts, cfg), B.hourly_residual_ci(forecasts)
     )
 
 
@@ -131,21 +146,7 @@ def backtest(features: DataFrame, n: int, cfg: HeatConfig, staged: bool = True)
 
 def sweep_fits(features: DataFrame, min_n: int, max_n: int, cfg: HeatConfig) -> DataFrame:
     """Fits of every look-back in ``min_n..max_n``, in one job."""
-    moments = regression.ols_moments(features, cfg)
-    lookbacks = F.explode(F.sequence(F.lit(min_n), F.lit(max_n)))
-    schedule = B.refit_schedule(moments.select("house_alias", "day"), lookbacks, cfg)
-    nested = B.nested_windows(moments, max_n, cfg)
-    if cfg.grow_window:
-        # while fewer than n days exist, look-back n means all days so far
-        nested = _with_short_windows(nested, max_n)
-    windows = nested.join(schedule, ["house_alias", "n", "fit_day"], "left_semi")
-    return regression.solve_windows(windows, features, ["house_alias", "n", "fit_day"], cfg)
-
-
-def _with_short_windows(nested: DataFrame, max_n: int) -> DataFrame:
-    whole = F.col("first_day") == F.min("first_day").over(Window.partitionBy("house_alias"))
-    longer = F.when(F.col("whole"), F.sequence("n", F.lit(max_n))).otherwise(F.array("n"))
-    return nested.withColumn("whole", whole).withColumn("n", F.explode(longer)).drop("whole")
+    return fits_of(features, F.explode(F.sequence(F.lit(min_n), F.lit(max_n))), cfg)
 
 
 def sweep_n(features: DataFrame, min_n: int, max_n: int, cfg: HeatConfig, staged: bool = True) -> DataFrame:
@@ -158,8 +159,8 @@ def sweep_n(features: DataFrame, min_n: int, max_n: int, cfg: HeatConfig, staged
     fits = sweep_fits(features, min_n, max_n, cfg)
     if staged:
         fits = stage(fits, "fits")
-    points = B.forecast_points(B.origin_lead_join(features, cfg), fits, cfg)
-    errors = B.oos_metrics(points).select("house_alias", "n", "n_points", "rmse", "rmse_baseline")
+    forecasts = B.forecasts(B.origin_lead_join(features, cfg), fits, cfg)
+    errors = B.oos_metrics(forecasts).select("house_alias", "n", "n_points", "rmse", "rmse_baseline")
     return sweep.coef_stability(fits, cfg).join(errors, ["house_alias", "n"], "left")
 
 

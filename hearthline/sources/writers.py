@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthline.config import FORECAST_CHANNELS, HeatConfig
@@ -93,3 +93,19 @@ def write_hourly_csv(hourly: DataFrame, path: str, zones: list[int] | None = Non
     ).sortWithinPartitions("house_alias", "hour_start").write.mode(mode).partitionBy("house_alias").option(
         "header", True
     ).csv(path)
+
+
+def replace_partitions(df: DataFrame, path: str, partition: list[str], order: list[str]) -> None:
+    """Replace the partitions that ``df`` has rows of; the others stay as they are.
+
+    The new files are moved in place when all are written, so a job that fails changes nothing.
+    """
+    placed = df.repartition(*partition).sortWithinPartitions(*partition, *order)
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
+
+
+def drop_partitions(spark: SparkSession, path: str, folders: list[str]) -> None:
+    """Delete partitions of a table that have no rows left."""
+    for folder in folders:
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}")
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

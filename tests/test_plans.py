@@ -39,10 +39,21 @@ def test_scan_filters_and_columns_reach_the_reader(spark, cfg, tmp_path, capsys)
     assert "note" not in next(line for line in text if "ReadSchema" in line)
 
 
-def test_no_window_runs_over_all_readings_of_a_house(spark, cfg):
+def test_sensor_means_take_two_exchanges_and_no_window(spark, cfg):
     from test_telemetry import UTC0, named
 
-    sensors_plan = plan(sensors.time_weighted_avg_locf(named(spark, [(UTC0, 1.0)]), cfg))
-    windows = [line for line in sensors_plan.splitlines() if "Window [" in line]
-    assert len(windows) == 2 and all("hour_start" in line for line in windows)
-    assert any("slice" in line.split("],")[1] for line in windows)
+    frame = sensors.time_weighted_avg_locf(named(spark, [(UTC0, 1.0)]), cfg)
+    assert "Window" not in plan(frame) and "Sort " not in plan(frame)
+    found = exchanges(frame)
+    assert len(found) == 2 and sum("slice" in line for line in found) == 1
+    assert plan(frame).count("partial_collect_") == 2  # both combine before they shuffle
+
+
+def test_hourly_telemetry_takes_one_exchange(spark, cfg):
+    from test_telemetry import UTC0
+
+    from hearthline import schemas
+
+    readings = spark.createDataFrame([("h1", UTC0, "dist-flow", "GpmTimes100", 1.0)], schemas.READINGS_1S)
+    found = exchanges(telemetry.hourly_from_seconds(readings, UTC0, cfg))
+    assert len(found) == 1 and "hashpartitioning(house_alias" in found[0] and "slot" in found[0]

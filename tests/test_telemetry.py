@@ -70,6 +70,29 @@ def test_hourly_results_of_one_pass_equal_the_separate_ones(spark, cfg):
                 assert together[row.hour_start][name] == row[name]
 
 
+@pytest.mark.parametrize("since", [datetime(2024, 1, 10, 5), datetime(2025, 10, 30, 4), datetime(2026, 3, 5, 5)])
+def test_runs_across_hours_batches_and_clock_changes(spark, cfg, since):
+    """One pass by hour equals segments over whole batches, whatever edge a run crosses."""
+    rng = random.Random(since.year)
+    last = datetime(2025, 11, 2, 8) if since.year == 2025 else datetime(2026, 3, 8, 9) if since.year == 2026 else since + timedelta(days=5, hours=1)
+    rows = []
+    for hours in range(8):
+        edge = last - timedelta(hours=hours)
+        flowing = True
+        for second in range(-90, 90):
+            if rng.random() < 0.02:
+                flowing = not flowing
+            ts = edge + timedelta(seconds=second)
+            rows.append(("h1", ts, "dist-flow", "GpmTimes100", 100.0 if flowing else 0.0))
+            rows.append(("h1", ts, "dist-swt", "WaterTempCTimes1000", float(rng.randint(40000, 50000))))
+    frame = spark.createDataFrame(rows, schemas.READINGS_1S)
+    segments = telemetry.flow_segments(telemetry.pivot_channels_per_second(frame), since, cfg)
+    wanted = {r.hour_start: r.swt_average_f for r in telemetry.hourly_flow_temps(segments, cfg).collect()}
+    got = {r.hour_start: r.swt_average_f for r in telemetry.hourly_from_seconds(frame, since, cfg).collect()}
+    assert len(wanted) > 6 and {h: got[h] for h in wanted} == wanted
+    assert all(v is None for h, v in got.items() if h not in wanted)
+
+
 def test_readings_with_the_wrong_unit_do_not_count(spark, cfg):
     rows = [("h1", UTC0, "dist-flow", "Gpm", 5.0), ("h1", UTC0, "dist-flow", "GpmTimes100", 100.0)]
     out = telemetry.pivot_channels_per_second(spark.createDataFrame(rows, schemas.READINGS_1S)).first()

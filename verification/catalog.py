@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 from functools import cache, cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,14 +18,16 @@ from hearthline.operators import backtest as B
 from hearthline.operators import clean, columns, features as feat, forecast, merge, regression as R
 from hearthline.operators import rswt, sensors, sweep, telemetry
 from hearthline.plans import pipeline as P
+from hearthline.plans import refresh
 from hearthline.session import configure, scratch_path, stage, use_folder
 from hearthline.sources import adapters, readers, writers
+from hearthline.sources.store import Telemetry
 from verification import sqlparts as Q
 from verification.sqlparts import S, query
 
 START, END = datetime(2023, 12, 31), datetime(2024, 2, 1)
 LOOKBACK = 7
-SWEEP = (5, 8)
+SWEEP = (5, 200)  # look-backs longer than a history give no row
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -249,7 +251,7 @@ def _(t: Inputs):
         "house_alias", "rwt_min", "water_kg_hour_chc", *_BAND_COLUMNS)
 
 
-@check("write_trailing_params", query(
+@check("write_trailing_params", Q.one_lookback(LOOKBACK, 
     "SELECT house_alias, n, CAST(fit_day AS VARCHAR) AS fit_day, " + ", ".join(
         f"main_b{i} AS B{i}, main_se{i} AS std_error_B{i}" for i in range(7))
     + f", main_r2 AS r_squared, energy_ratio FROM fit_bt WHERE n = {LOOKBACK}", "fit_bt"))
@@ -437,6 +439,32 @@ def _(t: Inputs):
         "z1_set", "z1_temp", "z1_hc")
 
 
+def _parts_of(t: Inputs) -> Telemetry:
+    return Telemetry(
+        adapters.readings_1s_from_events(t.events), adapters.readings_from_events(t.events),
+        adapters.channels_from_events(t.events), adapters.messages_from_events(t.events))
+
+
+@check("refresh_hourly", query(
+    "SELECT house_alias, hour_start, oat_f, ws_mph, oat_47, coalesce(dist_kwh, 0e0) AS dist_kwh, "
+    "coalesce(hp_kwh_th, 0e0) AS hp_kwh_th, swt_average_f, rwt_average_f, dist_water_kg, "
+    "coalesce(oil_boiler_pwr, 0e0) AS oil_boiler_pwr FROM merged "
+    "WHERE hour_start >= TIMESTAMP '2024-01-05 00:00:00' AND hour_start < TIMESTAMP '2024-01-25 00:00:00'", "merged"))
+def _(t: Inputs):
+    """A table with holes brought up to date: whole batches are missing, so their edges are those of a full build."""
+    telemetry = _parts_of(t)
+    path = scratch_path(t.spark, "hourly")
+    first, last = datetime(2024, 1, 5), datetime(2024, 1, 25)  # four batches of five days
+    refresh.refresh_hourly(t.spark, path, telemetry, t.houses, first, first + timedelta(days=5), t.cfg)
+    odd = t.houses.where(F.substring("house_alias", 2, 9).cast("int") % 2 == 1)
+    refresh.refresh_hourly(t.spark, path, telemetry, odd, first + timedelta(days=10), first + timedelta(days=15), t.cfg)
+    refresh.refresh_hourly(t.spark, path, telemetry, t.houses, first, last, t.cfg)
+    hourly = refresh.read_hourly(t.spark, path, t.houses, first, last)
+    return hourly.select(
+        "house_alias", "hour_start", "oat_f", "ws_mph", F.get("oat_f_forecast", F.lit(47)).alias("oat_47"), "dist_kwh", "hp_kwh_th",
+        "swt_average_f", "rwt_average_f", "dist_water_kg", "oil_boiler_pwr")
+
+
 _MISSING_SQL = ("SELECT house_alias, hour_start FROM skel EXCEPT SELECT house_alias, hour_start FROM h")
 
 
@@ -456,7 +484,7 @@ def _(t: Inputs):
         "house_alias", "hour_start", "inserted", "oat_f", "dist_kwh", "swt_average_f", *Q.ZONE1)
 
 
-@check("asof_fit", query(
+@check("asof_fit", Q.one_lookback(LOOKBACK, 
     "SELECT f.house_alias, f.hour_start AS origin, CAST(max(s.fit_day) AS VARCHAR) AS fit_day FROM feat f "
     f"JOIN sched s ON s.house_alias = f.house_alias AND s.n = {LOOKBACK} AND s.fit_day < f.day "
     "WHERE f.rn <= f.total - 48 GROUP BY 1, 2", "feat", "sched"))
@@ -602,13 +630,13 @@ def metrics(df: DataFrame) -> DataFrame:
     return rounded(df, "mae_gain_pct", "rmse_gain_pct", digits=4)
 
 
-@check("oos_metrics", query(
+@check("oos_metrics", Q.one_lookback(LOOKBACK, 
     f"SELECT house_alias, n, {Q.METRICS} FROM points WHERE n = {LOOKBACK} GROUP BY 1, 2", "points"))
 def _(t: Inputs):
     return metrics(t.backtest.metrics)
 
 
-@check("rmse_by_lead", query(
+@check("rmse_by_lead", Q.one_lookback(LOOKBACK, 
     f"SELECT house_alias, n, lead, count(*) AS n_points, {S('sqrt(avg(e * e))')} AS rmse, {S('sqrt(avg(eb * eb))')} "
     f"AS rmse_baseline FROM points WHERE n = {LOOKBACK} GROUP BY 1, 2, 3", "points"))
 def _(t: Inputs):
@@ -621,7 +649,7 @@ def _(t: Inputs):
     return metrics(R.in_sample_metrics(features, P.energy_params(features, t.cfg), t.cfg))
 
 
-@check("hourly_residual_ci", query(
+@check("hourly_residual_ci", Q.one_lookback(LOOKBACK, 
     "SELECT x.house_alias, CAST(7 AS INTEGER) AS n, x.weekend, CAST(x.hour AS INTEGER) AS hour, count(e) AS n_points, "
     f"{S('avg(e)')} AS mean_residual, "
     f"CASE WHEN count(e) >= 2 THEN {S('1.96e0 * stddev_samp(e) / sqrt(count(e))')} ELSE 0e0 END AS ci95 FROM "
@@ -853,7 +881,7 @@ def _(t: Inputs):
     return B.refit_schedule(days, lookbacks, t.cfg).withColumn("fit_day", F.col("fit_day").cast("string"))
 
 
-@check("coef_lag_diff", query(
+@check("coef_lag_diff", Q.one_lookback(LOOKBACK, 
     "SELECT house_alias, n, CAST(fit_day AS VARCHAR) AS fit_day, main_b1 AS coefficient, "
     f"{S('main_b1 - lag(main_b1) OVER (PARTITION BY house_alias, n ORDER BY fit_day)')} AS change FROM fit_bt "
     f"WHERE n = {LOOKBACK}", "fit_bt"))
@@ -867,13 +895,13 @@ _POINTS_SQL = (f"SELECT house_alias, origin, lead, hour_start, {{0}} AS predicte
                f"FROM points WHERE n = {LOOKBACK}")
 
 
-@check("recursive_forecast", query(_POINTS_SQL.format(S("predicted")), "points"))
+@check("recursive_forecast", Q.one_lookback(LOOKBACK, _POINTS_SQL.format(S("predicted")), "points"))
 def _(t: Inputs):
     return rounded(t.backtest.points, "predicted", "actual").select(
         "house_alias", "origin", "lead", "hour_start", "predicted", "actual")
 
 
-@check("baseline_forecast", query(_POINTS_SQL.format(S("predicted_baseline")), "points"))
+@check("baseline_forecast", Q.one_lookback(LOOKBACK, _POINTS_SQL.format(S("predicted_baseline")), "points"))
 def _(t: Inputs):
     points = t.backtest.points.drop("predicted").withColumnRenamed("predicted_baseline", "predicted")
     return rounded(points, "predicted", "actual").select(

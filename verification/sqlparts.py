@@ -36,6 +36,14 @@ def part(name: str, needs: list[str], body: str) -> None:
     PARTS[name] = (needs, body)
 
 
+LOOKBACKS = "range(5, 201)"
+
+
+def one_lookback(n: int, final: str, *needs: str) -> str:
+    """As :func:`query`, with fits and points of a single look-back."""
+    return query(final, *needs).replace(LOOKBACKS, f"range({n}, {n + 1})")
+
+
 def query(final: str, *needs: str) -> str:
     """The final SELECT with every CTE it needs in front, in order."""
     order: list[str] = []
@@ -394,7 +402,7 @@ part("win_all", ["mom"], f"SELECT house_alias, count(*) AS n_days, {_SUMS} FROM
 fit("win_all", "fit_all", ["win_all"], "house_alias, n_days")
 
 # refit days: the greedy seven-day rule as a recursive query
-part("lookbacks", [], "SELECT CAST(unnest(range(5, 9)) AS INTEGER) AS n")
+part("lookbacks", [], f"SELECT CAST(unnest({LOOKBACKS}) AS INTEGER) AS n")
 part("sched", ["mom", "lookbacks"], """
 SELECT l.n, m.house_alias, m.day AS fit_day, m.idx FROM mom m JOIN lookbacks l ON m.idx = l.n
 UNION ALL
