@@ -57,3 +57,20 @@ def test_hourly_telemetry_takes_one_exchange(spark, cfg):
     readings = spark.createDataFrame([("h1", UTC0, "dist-flow", "GpmTimes100", 1.0)], schemas.READINGS_1S)
     found = exchanges(telemetry.hourly_from_seconds(readings, UTC0, cfg))
     assert len(found) == 1 and "hashpartitioning(house_alias" in found[0] and "slot" in found[0]
+
+
+def test_a_row_per_origin_reaches_the_metrics(spark, cfg):
+    from test_backtest import frame, planted
+
+    from hearthline.operators import backtest as B
+
+    features = frame(spark, planted(days=4))
+    fits = spark.createDataFrame(
+        [], "house_alias string, n int, fit_day date, energy_ratio double, coefficients array<double>, baseline_coefficients array<double>")
+    forecasts = B.forecasts(B.origin_lead_join(features, cfg), fits, cfg)
+    spread = plan(forecasts).count("Generate")  # fits over the days they serve
+    assert plan(B.oos_metrics(forecasts)).count("Generate") == spread
+    by_lead = plan(B.rmse_by_lead(forecasts, cfg))
+    assert by_lead.count("Generate") == spread + 1
+    assert by_lead.index("Generate") < by_lead.index("HashAggregate")  # leads are spread above the means
+    assert "targets" not in by_lead[:by_lead.index("HashAggregate")]
