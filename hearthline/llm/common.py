@@ -12,11 +12,15 @@ _own_folder: str | None = None
 
 ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ARROW_ROWS = 2000  # whole texts are large rows: batches of Spark's default length crowd the workers
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20  # a run of long texts ends a batch sooner; a longer text is a batch of its own
 
 
 def _text_batches(spark: SparkSession) -> None:
     if int(spark.conf.get(ARROW)) > ARROW_ROWS or int(spark.conf.get(ARROW)) <= 0:
         spark.conf.set(ARROW, str(ARROW_ROWS))
+    if not spark.conf.get(ARROW_BYTES, None):
+        spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +62,14 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def drop_staged(*frames: DataFrame) -> None:
     """Delete staged frames that no later step reads."""
     for df in frames:

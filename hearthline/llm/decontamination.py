@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import drop_staged, stage, table
+from hearthline.llm.common import drop_staged, stage, table, unused
 
 WORD = re.compile(r"\w+")
 #: Marks beyond ASCII; without them words can be cut from the bytes.
@@ -312,8 +312,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` in which no item was found."""
-    hits = contaminated_texts(docs, benchmark, **options).select(F.col("tid").alias("_tid")).distinct()
-    return docs.withColumn("_tid", F.xxhash64("text")).join(hits, "_tid", "left_anti").select(*docs.columns)
+    own = unused(docs, "tid")
+    hits = contaminated_texts(docs, benchmark, **options).select(F.col("tid").alias(own)).distinct()
+    return docs.withColumn(own, F.xxhash64("text")).join(hits, own, "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

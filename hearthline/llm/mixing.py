@@ -218,8 +218,9 @@ def mix(docs: DataFrame, labelled: DataFrame, targets=smoothed_targets, **option
     and have the posterior of the intercepts. An empty table stays empty.
     """
     domains, rates = fit_mixing(docs, labelled, targets, **options)
-    found = rated(docs, domains, rates).where(F.col("_copies") > 0)
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    # the row travels as one column, so that its own names can't clash with those of ``rated``
+    found = rated(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")), domains, rates).where(F.col("_copies") > 0)
+    return found.select("row", F.explode(F.sequence(F.lit(1), "_copies"))).select("row.*")
 
 
 def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:

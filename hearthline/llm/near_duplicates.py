@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import stage, table
+from hearthline.llm.common import stage, table, unused
 from hearthline.llm.graph import connected_components
 
 REACH = 4
@@ -298,8 +298,9 @@ def similar_documents(
 
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [shingles_of(x, shingle) for x in batch]
-            yield pd.DataFrame({"fp": [set_name(x) for x in sets], "keys": [band_keys(x, factors, offsets) for x in sets]})
+            # a set is dropped before the next text's: sets outweigh the texts they come from
+            signs = [(set_name(s), band_keys(s, factors, offsets)) for s in (shingles_of(x, shingle) for x in batch)]
+            yield pd.DataFrame({"fp": [x for x, _ in signs], "keys": [x for _, x in signs]})
 
     signed = F.pandas_udf(sign, "fp long, keys array<long>")(F.col("text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), signed.alias("s"))
@@ -354,13 +355,14 @@ def keep_one(docs: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     any id keeps one row per fingerprint. Of repeated rows one stays.
     """
     rows = near_duplicates(docs) if rows is None else rows
+    own = unused(docs, "text_hash")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "fp"))
     keepers = rows.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("_fp")).agg(best.alias("k"))
     keepers = keepers.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
-    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    same = hashed["doc_id"].cast("long").eqNullSafe(keepers["_id"]) & (hashed["_text_hash"] == keepers["_hash"])
+    hashed = docs.withColumn(own, F.xxhash64("text"))
+    same = hashed["doc_id"].cast("long").eqNullSafe(keepers["_id"]) & (hashed[own] == keepers["_hash"])
     kept = hashed.join(keepers, same, "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    return kept.dropDuplicates(["doc_id", own]).drop(own)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

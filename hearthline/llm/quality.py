@@ -19,10 +19,11 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import table
+from hearthline.llm.common import drop_staged, stage, table, unused
 
 STATISTICS = (
     "n_words", "word_bytes", "upper_share", "digit_share", "symbol_share", "stop_share", "mark_share",
@@ -131,7 +132,8 @@ def fit(
     """Fit on at most ``train_rows`` rows of ``labels`` that aren't held out.
 
     Rows with null id or label are left out; a document with several labels counts once for
-    each. Without rows of both labels there are no rules and the score is the share of label 1
+    each. Without rows of both labels, or when no statistic tells them apart, there are no rules
+    and the score is the share of label 1
     (0.5 without any row).
     """
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("label"))
@@ -140,36 +142,55 @@ def fit(
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # The sample is at most train_rows narrow rows: a proven bound for the broadcast.
     rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "label", statistics("text").alias("s"))
-    rows = rows.select("doc_id", "label", "s.*").dropDuplicates()
+    # written once: the forest and the weights are fitted on these rows, the texts are read no more
+    rows = stage(rows.select("doc_id", "label", "s.*").dropDuplicates(), "training-rows")
+    order = ("doc_id", "label", *STATISTICS)
     data = VectorAssembler(inputCols=list(STATISTICS), outputCol="x").transform(rows)
-    data = data.repartition(1).sortWithinPartitions("doc_id", "label").select("label", "x").persist()
+    data = data.repartition(1).sortWithinPartitions(*order).select("label", "x").persist()
+    fired = None
     try:
         totals = {r[0]: r[1] for r in data.groupBy("label").count().collect()}
-        if len(totals) < 2:
+        rules: list[tuple[Condition, ...]] = []
+        if len(totals) == 2:
+            forest = RandomForestClassifier(
+                labelCol="label", featuresCol="x", numTrees=trees, maxDepth=depth, maxBins=64, minInstancesPerNode=2,
+                featureSubsetStrategy="onethird", seed=seed,
+            ).fit(data)
+            rules = tree_rules(forest)
+        if not rules:
             p = min(max(totals.get(1.0, 0) / sum(totals.values()), 0.01), 0.99) if totals else 0.5
             return RuleModel(float(np.log(p / (1 - p))), ())
-        forest = RandomForestClassifier(
-            labelCol="label", featuresCol="x", numTrees=trees, maxDepth=depth, maxBins=64, minInstancesPerNode=2,
-            featureSubsetStrategy="onethird", seed=seed,
-        ).fit(data)
-        rules = tree_rules(forest)
-        fired = rows.select("label", *[
-            F.when(_holds(r, F.struct(*STATISTICS)), 1.0).otherwise(0.0).alias(f"r{k}") for k, r in enumerate(rules)
-        ])
-        table = VectorAssembler(inputCols=fired.columns[1:], outputCol="x").transform(fired).select("label", "x")
+        held = [F.when(_holds(r, F.struct(*STATISTICS)), 1.0).otherwise(0.0) for r in rules]
+        one = rows.repartition(1).sortWithinPartitions(*order)
+        fired = one.select("label", array_to_vector(F.array(*held)).alias("x")).persist()
         lasso = LogisticRegression(
             labelCol="label", featuresCol="x", elasticNetParam=1.0, regParam=penalty, maxIter=60, standardization=False
-        ).fit(table.coalesce(1).persist())
+        ).fit(fired)
         weights = lasso.coefficients.toArray()
         kept = tuple((rules[k], float(weights[k])) for k in np.flatnonzero(np.abs(weights) > 1e-9))
         return RuleModel(float(lasso.intercept), kept)
     finally:
         data.unpersist()
+        if fired is not None:
+            fired.unpersist()
+        drop_staged(rows)
 
 
 def score_documents(docs: DataFrame, model: RuleModel) -> DataFrame:
-    """``docs`` with its score in column ``score``; one Python pass over the texts."""
-    return docs.withColumn("_stats", statistics("text")).withColumn("score", model.score(F.col("_stats"))).drop("_stats")
+    """``docs`` with its score in column ``score``; one Python pass over the texts.
+
+    Null and empty texts have all statistics zero and get a score like any other; long texts
+    are read whole. Repeated rows stay. A column ``score`` of ``docs`` is replaced.
+    """
+    stats = unused(docs, "stats")
+    return docs.withColumn(stats, statistics("text")).withColumn("score", model.score(F.col(stats))).drop(stats)
+
+
+def keep_good(docs: DataFrame, model: RuleModel, least: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more, with the columns of ``docs``."""
+    stats = unused(docs, "stats")
+    scored = docs.withColumn(stats, statistics("text"))
+    return scored.where(model.score(F.col(stats)) >= least).drop(stats)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
