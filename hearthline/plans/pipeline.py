@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 from typing import NamedTuple
 from zoneinfo import ZoneInfo
 
@@ -182,9 +183,11 @@ def house_status(
     rows = water.rows.groupBy("house_alias").agg(F.count("*").alias("n_rswt_rows"))
     bands = water.bands.groupBy("house_alias").agg(F.count("rwt_slope").alias("n_bands"))
     flows = water.water.select("house_alias", F.col("n_hours").alias("n_water"))
-    out = houses.select(readers.house_key(F.col("house_alias")).alias("house_alias")).distinct()
-    for part in (loaded, usable, rows, bands, flows):
-        out = out.join(part, "house_alias", "left")
+    wanted = houses.select(readers.house_key(F.col("house_alias")).alias("house_alias"), F.lit(True).alias("wanted"))
+    # counts are one row per house and source: they are stacked and meet in one grouping, without joins
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (wanted, loaded, usable, rows, bands, flows))
+    found = [F.max(c).alias(c) for c in stacked.columns if c != "house_alias"]
+    out = stacked.groupBy("house_alias").agg(*found).where("wanted")
     count = lambda c: F.coalesce(F.col(c), F.lit(0))
     unusable = F.when(count("n_hours") == 0, "no_hourly_data").when(count("n_rows") == 0, "no_usable_rows")
     needed = max(cfg.min_fit_days, 1) if cfg.grow_window else n or 1

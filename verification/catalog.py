@@ -224,6 +224,13 @@ def _(t: Inputs):
     return rounded(wide, *[c for c in wide.columns if c not in merge.HOUSE_HOUR])
 
 
+def stored(t: Inputs, df: DataFrame, label: str) -> DataFrame:
+    """``df`` as its result table gives it back."""
+    path = scratch_path(t.spark, label)
+    writers.write_table(df, path)
+    return t.spark.read.parquet(path)
+
+
 _COEF_NAMES = ["intercept", *HeatConfig().feature_names]
 
 
@@ -232,7 +239,7 @@ _COEF_NAMES = ["intercept", *HeatConfig().feature_names]
         f"main_b{i} AS {n}, main_se{i} AS std_error_{n}" for i, n in enumerate(_COEF_NAMES))
     + ", main_r2 AS r_squared, energy_ratio FROM fit_all", "fit_all"))
 def _(t: Inputs):
-    return writers.energy_params_table(P.energy_params(t.staged_features, t.cfg), t.cfg)
+    return stored(t, writers.energy_params_table(P.energy_params(t.staged_features, t.cfg), t.cfg), "energy-params")
 
 
 _BAND_COLUMNS = [f"{b}_{c}" for b in ("load_0_2", "load_2_4", "load_4_6", "load_6_8", "load_8_plus")
@@ -247,8 +254,8 @@ _BAND_COLUMNS = [f"{b}_{c}" for b in ("load_0_2", "load_2_4", "load_4_6", "load_
     + " FROM bands JOIN chc USING (house_alias) WHERE water_kg_hour_chc IS NOT NULL GROUP BY 1, 2, 3 "
     "HAVING count(rwt_slope) > 0", "bands", "chc"))
 def _(t: Inputs):
-    return P.rswt_params(t.staged_features, t.cfg).params.select(
-        "house_alias", "rwt_min", "water_kg_hour_chc", *_BAND_COLUMNS)
+    back = stored(t, P.rswt_params(t.staged_features, t.cfg).params, "rswt-params")
+    return back.select("house_alias", "rwt_min", "water_kg_hour_chc", *_BAND_COLUMNS)
 
 
 @check("write_trailing_params", Q.one_lookback(LOOKBACK, 
@@ -257,7 +264,17 @@ def _(t: Inputs):
     + f", main_r2 AS r_squared, energy_ratio FROM fit_bt WHERE n = {LOOKBACK}", "fit_bt"))
 def _(t: Inputs):
     fits = P.backtest_fits(t.staged_features, LOOKBACK, t.cfg)
-    return writers.trailing_params_table(fits, t.cfg).withColumn("fit_day", F.col("fit_day").cast("string"))
+    back = stored(t, writers.trailing_params_table(fits, t.cfg), "trailing-params")
+    return back.withColumn("fit_day", F.col("fit_day").cast("string"))
+
+
+#: Parameters of a run by their place in the manifest, with the values they must have.
+_PARAMETERS = {
+    "zone_clock": ("timezone", "America/New_York"), "horizon": ("horizon_hours", "48"), "training": ("training_frequency", "weekly"),
+    "first_feature": ("feature_names[0]", "deltaT"), "last_band": ("load_bands[4][1]", "inf"), "gap_limit": ("long_gap_hours", "4"),
+    "boiler": ("oil_boiler_watts", "50.0"), "thermostat": ("thermostat_gap_overrides[0][2]", "4.5"),
+    "top_load": ("valid_ranges.dist_kwh[1]", "25.0"), "forecasts": ("use_forecasts", "true"),
+}
 
 
 @check("write_run_manifest", query(
@@ -265,9 +282,16 @@ def _(t: Inputs):
     "CAST(1700000000000 AS BIGINT) AS run_ms, 'results/result_1700000000000' AS run_dir, house_alias, "
     "run_dir || '/' || house_alias AS house_dir, " + ", ".join(
         f"house_dir || '/{p}' AS {p}_dir" for p in ("energy_params", "rswt_params", "trailing_performance", "sweep_n"))
-    + " FROM houses", "houses"))
+    + ", " + ", ".join(f"'{v}' AS {k}" for k, (_, v) in _PARAMETERS.items()) + " FROM houses", "houses"))
 def _(t: Inputs):
-    return writers.run_manifest(t.houses, START, END, 1700000000000, t.cfg).drop("parameters")
+    path = scratch_path(t.spark, "manifest")
+    writers.write_run_manifest(writers.run_manifest(t.houses, START, END, 1700000000000, t.cfg), path)
+    # a house written again replaces its own entry alone
+    again = t.houses.where(F.col("house_alias").endswith("1"))
+    writers.write_run_manifest(writers.run_manifest(again, START, END, 1700000000000, t.cfg), path)
+    back = t.spark.read.json(path)
+    found = {k: F.get_json_object("parameters", f"$.{at}") for k, (at, _) in _PARAMETERS.items()}
+    return back.withColumns(found).drop("parameters")
 
 
 # ---------------------------------------------------------------------------
@@ -970,6 +994,28 @@ for _name in ("oil_boiler", "below_setpoint", "setpoint_change", "broken_thermos
     _rule(_name)
 
 
+def _gap_sql(zone: int) -> str:
+    gap = "CASE WHEN house_alias = 'h1' THEN 1.0e0 ELSE 0.5e0 END" if zone == 1 else "0.5e0"
+    z = f"z{zone}"
+    return f"(({z}_hc = 0 AND {z}_set - {z}_temp >= {gap}) OR ({z}_hc > 0.01e0 AND {z}_temp - {z}_set >= {gap}))"
+
+
+@check("broken_thermostat_gaps", query(
+    "SELECT house_alias, hour_start, coalesce(stepped, false) AS after_step, coalesce(early, CASE WHEN coalesce(stepped, false) "
+    f"THEN 'setpoint_change' WHEN {_gap_sql(1)} OR (has2 AND {_gap_sql(2)}) THEN 'broken_thermostat' END) AS dropped_by, "
+    f"{S('z1_temp - z1_set')} AS z1_above FROM verdict0 LEFT JOIN survivors USING (house_alias, hour_start) "
+    "WHERE early IS NULL", "verdict0", "survivors"))
+def _(t: Inputs):
+    # half a degree, so that the rule drops rows of these data; one degree in a zone of one house
+    cfg = t.cfg.with_(thermostat_gap_f=0.5, thermostat_gap_overrides=(("h1", 1, 1.0),))
+    late = ("setpoint_change", "broken_thermostat")
+    rows = clean.clean_audit(t.hourly, cfg).where(F.col("dropped_by").isNull() | F.col("dropped_by").isin(*late))
+    above = r(zone_part(1, "avg_temp") - zone_part(1, "avg_set"))
+    return rows.select(
+        "house_alias", "hour_start", F.coalesce(F.col("dropped_by") == "setpoint_change", F.lit(False)).alias("after_step"),
+        "dropped_by", above.alias("z1_above"))
+
+
 @check("drop_incomplete_hours", query(
     "SELECT house_alias, hour_start, dropped_by FROM audit WHERE dropped_by IN ('no_rolling_mean', 'long_gap', "
     "'missing_values')", "audit"))
