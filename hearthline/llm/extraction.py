@@ -63,6 +63,11 @@ QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 #: The attribute by its name; what is quoted is taken out before.
 HIDDEN_NAME = re.compile(r"(?:^|[\s\"])hidden(?=[\s/=]|$)", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Names that tell a state, a layout or a subject, not what the container is.
+STATE = re.compile(r"^(?:has|with|without|no|is|category|tag|topic|format|status|layout)[-_]|[-_](?:on|off|enabled|disabled|open|closed)$", re.I)
+SIDE = re.compile(r"[-_](?:left|right)$", re.I)
+#: What decides whether a form spans the page: an article's element before the form's end.
+FORM_PART = re.compile(r"<(?:(?P<end>/form)|article|main|h1)(?=[\s/>])", re.I)
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "place")
 
@@ -74,18 +79,19 @@ def _place(tag: str, attrs: str, outer: int) -> int:
     if attrs and (HIDDEN.search(attrs) or HIDDEN_NAME.search(QUOTED.sub('""', attrs))):
         return -1
     named = [x for x in NAMES.findall(attrs)] if attrs else []
-    words = set()
-    for value in named:
-        for name in value.strip("\"'").split():
-            if not re.match(r"(has|with|no|is)[-_]", name):
-                words.update(x.lower() for x in WORD.findall(name))
+    parts = [(x, {w.lower() for w in WORD.findall(x)}) for value in named for x in value.strip("\"'").split() if not STATE.search(x)]
+    # next to a name of the article's container, "sidebar-right" says where the sidebar is
+    article = any(w & WITHIN and not w & BESIDE for _, w in parts)
+    words = {w for x, own in parts if not (article and SIDE.search(x)) for w in own}
+    if tag == "main":
+        return 2
     if words & READERS:
         return -1
     if tag in ("html", "body"):
         return 1
     if words & BESIDE:
         return outer if outer == 2 and words & BESIDE <= {"header"} else 0
-    if tag in ("article", "main"):
+    if tag == "article":
         return 2
     if tag == "header":
         return 2 if outer == 2 else 0
@@ -103,6 +109,7 @@ def blocks(html: str | None) -> list[tuple[str, int, float, int, int]]:
     linked: list[str] = []
     link = heading = 0
     at = 0
+    forms = True  # whether the rest of the page may hold what decides about a form
     unended: set[str] = set()  # silent elements without an end tag in the rest of the page
 
     def flush() -> None:
@@ -154,7 +161,13 @@ def blocks(html: str | None) -> list[tuple[str, int, float, int, int]]:
                     stack.pop()
                 if tag in ("li", "td", "th", "tr", "dd", "dt") and stack and stack[-1][0] == tag:
                     stack.pop()
-                stack.append((tag, _place(tag, token["attrs"], stack[-1][1] if stack else 1)))
+                outer = stack[-1][1] if stack else 1
+                spans = False
+                if tag == "form" and forms:
+                    part = FORM_PART.search(page, at)
+                    forms = part is not None
+                    spans = forms and not part["end"]
+                stack.append((tag, outer if spans else _place(tag, token["attrs"], outer)))
             heading = int(bool(stack) and stack[-1][0] in HEADING)
     if at < len(page):
         put(page[at:])

@@ -65,3 +65,23 @@ def test_many_unended_tags_take_no_longer_than_the_page(tree):
 
 def test_script_without_end_takes_the_rest(tree):
     assert X.main_text(f"<article><p>{TEXT}</p><script>var a = '<p>no</p>'", tree) == TEXT
+
+
+@pytest.mark.parametrize("start, end", [
+    ('<article class="post category-legal tag-search">', "</article>"), ('<main class="content share-enabled">', "</main>"),
+    ('<div class="main-content sidebar-right">', "</div>"), ('<div id="page" class="related-on">', "</div>"),
+    ('<form id="form1" method="post"><div><article>', "</article></div></form>"), ("<form><h1>A head</h1>", "</form>"),
+])
+def test_layout_names_and_page_wide_forms_keep_the_article(tree, start, end):
+    kept = X.main_text(f"<body>{start}<p>{TEXT}</p><p>{TEXT}</p>{end}<footer>Us</footer></body>", tree)
+    assert kept.removeprefix("A head\n\n") == f"{TEXT}\n\n{TEXT}"
+
+
+def test_form_within_an_article_stays_out(tree):
+    assert X.main_text(f"<article><p>{TEXT}</p><form><p>{TEXT}</p></form><p>{TEXT}</p></article><h1>x</h1>", tree).count(TEXT) == 2
+    assert X.main_text("<article><p>w</p>" + "<form>" * 20_000, tree) == "w"
+
+
+def test_sidebars_stay_out(tree):
+    side = f'<div class="sidebar-right"><p>{TEXT}</p></div><div class="content-sidebar"><p>{TEXT}</p></div>'
+    assert X.main_text(f"<main><h1>Head</h1><p>{TEXT}</p></main>{side}", tree).count(TEXT) == 1
