@@ -110,7 +110,9 @@ def asof_fit(origins: DataFrame, fits: DataFrame) -> DataFrame:
     """Each origin with the latest fit before its day, once per look-back.
 
     Every fit is spread over the days it serves, the last one up to the house's last origin,
-    and joined on house and day: a pair that is made is a pair that is kept.
+    and joined on house and day: a pair that is made is a pair that is kept. Both sides are dealt
+    to a given number of tasks. Origins carry their targets and must not be broadcast, and fits are
+    few bytes, but much work, which adaptive execution would put into few tasks.
     """
     # a fit that failed still ends the service of the one before it
     params = usable_fits(fit_intervals(fits)).select(
@@ -121,7 +123,9 @@ def asof_fit(origins: DataFrame, fits: DataFrame) -> DataFrame:
     served = params.join(last, "house_alias").where(F.col("fit_day") < until).withColumn(
         "day", F.explode(F.sequence(F.date_add("fit_day", 1), until))
     )
-    return origins.join(served.drop("next_fit_day", "last_day"), ["house_alias", "day"])
+    tasks = int(origins.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = served.drop("next_fit_day", "last_day").repartition(tasks, "house_alias", "day")
+    return origins.hint("merge").join(dealt, ["house_alias", "day"])
 
 
 def origin_lead_join(features: DataFrame, cfg: HeatConfig) -> DataFrame:
