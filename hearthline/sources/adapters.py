@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 USERS_PER_HOUSE = 30
 BURST_SECONDS = 40
+EVENTS_PER_TASK = 20_000
 
 # event type -> (position, channel name, unit)
 EVENT_CHANNELS = (
@@ -109,14 +110,20 @@ def readings_1s_from_events(events: DataFrame) -> DataFrame:
     """
     seconds = F.explode(F.sequence(F.lit(0), F.lit(BURST_SECONDS - 1)))
     # every event grows 240-fold, so the events, not the readings, are spread over tasks; the
-    # number is given because the small events would otherwise be coalesced into few tasks
-    tasks = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bursts = events.repartition(tasks, "event_id").select(
+    # number is given because the small events would otherwise be coalesced into few tasks, and
+    # grows with the events, so that what a task makes and groups doesn't
+    tasks = max(
+        int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-events.count() // EVENTS_PER_TASK)
+    )
+    # columns stand below the explode that repeats them: above it they are worked out for every row
+    parts = events.repartition(tasks, "event_id").select(
         _house_alias(_house_number()).alias("house_alias"),
         F.date_trunc("second", F.col("ts")).cast("timestamp_ntz").alias("t0"),
         "value",
         _k().cast("int").alias("k"),
-        seconds.alias("i"),
+    )
+    bursts = parts.select("house_alias", "t0", "value", "k", seconds.alias("i")).select(
+        "house_alias", (F.col("t0") + F.make_dt_interval(secs=F.col("i"))).alias("ts"), "value", "k", "i"
     )
 
     def reading(channel: str, unit: str, value: Column) -> Column:
@@ -134,11 +141,9 @@ def readings_1s_from_events(events: DataFrame) -> DataFrame:
         reading("hp-lwt", water, 45000 + v * 10),
         reading("hp-ewt", water, 41000 + v * 9),
     )
-    return bursts.select(
-        "house_alias",
-        (F.col("t0") + F.make_dt_interval(secs=F.col("i"))).alias("ts"),
-        F.explode(readings).alias("r"),
-    ).select("house_alias", "ts", "r.channel_name", "r.unit", "r.value")
+    return bursts.select("house_alias", "ts", F.explode(readings).alias("r")).select(
+        "house_alias", "ts", "r.channel_name", "r.unit", "r.value"
+    )
 
 
 def _event_position() -> Column:
